@@ -28,3 +28,16 @@ def text_key(text: Column) -> Column:
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under internal names, so further or clashing columns can't interfere."""
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
+
+
+def bucket_of(value: Column, cuts: list) -> Column:
+    """How many of the sorted `cuts` lie below `value`, as an int: two short searches, of about the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    tops = F.array(*(F.lit(g[-1]) for g in groups))
+    at = F.size(F.filter(tops, lambda c: c < value))
+    within = F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), F.least(at + 1, F.lit(len(groups))))
+    inside = F.size(F.filter(within, lambda c: c < value))
+    return F.when(at == len(groups), len(cuts)).otherwise(at * step + inside).cast("int")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrazzo.llm.common import pick
+from terrazzo.llm.common import bucket_of, pick
 from terrazzo.session import fresh_path, staged
 
 MANIFEST = "shard long, data string, index string, n_records long, n_tokens long"
@@ -189,11 +189,7 @@ def write_records(docs: DataFrame, encoding: Encoding, path: str, shard_chars: i
         points = [i / shards for i in range(1, shards)]
         cuts = sorted(set(sized.agg(F.percentile_approx("k", points, max(10_000, 20 * shards)).alias("q")).first().q or []))
     fs_path = path if "://" in path else f"file://{path}"
-    bucket = F.lit(0)
-    if cuts:
-        at = F.array(*map(F.lit, cuts))
-        bucket = F.coalesce(F.size(F.filter(at, lambda c: c < F.col("ord"))), F.lit(0)) if len(cuts) < 64 else _bucket_of(cuts)
-    rows = encode(docs, encoding, id_col, text_col, order_col).withColumn("shard", F.when(F.col("ord").isNull(), 0).otherwise(bucket).cast("int"))
+    rows = encode(docs, encoding, id_col, text_col, order_col).withColumn("shard", F.when(F.col("ord").isNull(), 0).otherwise(bucket_of(F.col("ord"), cuts)).cast("int"))
     dealt = rows.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.col("shard"), F.col("ord").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,18 +208,6 @@ def write_records(docs: DataFrame, encoding: Encoding, path: str, shard_chars: i
     return staged(written, "token-manifest").orderBy("shard")
 
 
-def _bucket_of(cuts: list[int]):
-    """The number of cuts below `ord`, by halving: a nested CASE of logarithmic depth."""
-
-    def half(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("ord") <= cuts[mid], half(lo, mid)).otherwise(half(mid + 1, hi))
-
-    return half(0, len(cuts))
-
-
 class _Shard:
     def __init__(self, path: str, shard: int, width: int):
         from pyarrow import fs
@@ -284,7 +268,9 @@ def read_records(manifest: DataFrame, width: int = 2) -> DataFrame:
                 if out:
                     yield _frame(out)
 
-    return shards.repartition(F.col("shard")).mapInPandas(run, RECORD)
+    # a task a shard: adaptive execution would merge them, since the manifest itself is tiny
+    n = (manifest.agg(F.max("shard").alias("n")).first().n or 0) + 1
+    return shards.repartitionById(n, F.col("shard").cast("int")).mapInPandas(run, RECORD)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
