@@ -23,10 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrazzo.llm.common import pick
+from terrazzo.session import broadcast_if, staged
 
 DIMS_LOG2 = 12
 DIMS = 1 << DIMS_LOG2
 UNKNOWN = "und"
+#: Above this many distinct labels the sample is joined by shuffle.
+MAX_BROADCAST_LANGUAGES = 100_000
 _SPACE = 32
 _TABLE: list[np.ndarray] = []
 
@@ -141,8 +144,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     counts come to the driver.
     """
     d = pick(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null")
-    n = d.groupBy("lang").count()
+    n = staged(d.groupBy("lang").count(), "langid-counts")
     chance = n.select("lang", (F.lit(float(fit_rows)) / F.col("count")).alias("chance"))
+    chance = broadcast_if(chance, n.count(), MAX_BROADCAST_LANGUAGES)
     lot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit(11)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = d.join(chance, "lang").where(lot < F.col("chance")).select("lang", "text")
 

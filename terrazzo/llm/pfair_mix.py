@@ -131,7 +131,7 @@ def mix(docs: DataFrame, weights: dict[str, int], block: int = BLOCK, id_col: st
     return placed.select(*plain, "__class", "__rank", "__block", "__slot", position.alias("__position"))
 
 
-def in_order(mixed: DataFrame, columns: list[str], rows_a_part: int = 50_000) -> DataFrame:
+def in_order(mixed: DataFrame, columns: list[str], rows_a_part: int = 12_000) -> DataFrame:
     """The mixed rows in their order: part files of a Parquet write follow each other, and so do the rows in them."""
     n = mixed.count()
     parts = max(1, -(-n // rows_a_part))

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,12 +65,13 @@ def unframe(data: memoryview, at: int) -> tuple[memoryview, int]:
 class Encoding:
     """tokenizer: a tokenizers file (byte-level BPE over the words of WORD_PATTERN, lower case, white space
     dropped); end_id is appended to each document; width: bytes a stored id; cache_words: how many distinct
-    words a worker remembers before it starts afresh."""
+    words a worker remembers before it starts afresh; slice_bytes: how much text it encodes at a time."""
 
     tokenizer: str
     end_id: int = 2
     width: int = 2
-    cache_words: int = 700_000
+    cache_words: int = 450_000
+    slice_bytes: int = 1_000_000
 
     @property
     def kind(self) -> str:
@@ -152,16 +154,17 @@ def encode(docs: DataFrame, encoding: Encoding, id_col: str = "doc_id", text_col
 
         encoder = Kept.of_worker(encoding)
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for lo, hi in slices([len(t) for t in texts]):
-                got = pa.array(encoder.batch(texts[lo:hi]), pa.binary())
+            column = b.column("text")
+            # sizes from the offsets and texts slice by slice: a batch of long texts never stands in memory twice
+            for lo, hi in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), encoding.slice_bytes):
+                got = pa.array(encoder.batch([t or "" for t in column.slice(lo, hi - lo).to_pylist()]), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("ord").slice(lo, hi - lo), got], ["doc_id", "ord", "ids"])
 
     return source.mapInArrow(run, "doc_id long, ord long, ids binary")
 
 
 def slices(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about `most` characters each, one row at least."""
+    """Ranges of rows that hold about `most` bytes each, one row at least."""
     lo = total = 0
     for i, n in enumerate(sizes):
         total += n
