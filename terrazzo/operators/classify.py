@@ -91,13 +91,19 @@ def outward(door: Column, ring: Column, center: Column) -> Column:
     from terrazzo.functions import geo as G
 
     sides = F.zip_with(ring, G.rotated(ring), lambda a, b: F.struct(G.segment_distance(door, a, b).alias("d"), (b["y"] - a["y"]).alias("x"), (a["x"] - b["x"]).alias("y")))
-    s = F.array_min(sides)
-    n = F.hypot(s["x"], s["y"])
-    u = G.point(s["x"] / n, s["y"] / n)
-    out = G.in_ring(G.point(door["x"] + u["x"], door["y"] + u["y"]), ring)
-    other = G.in_ring(G.point(door["x"] - u["x"], door["y"] - u["y"]), ring)
-    flip = F.when(out & ~other, -1).when(other & ~out, 1).otherwise(F.when((door["x"] - center["x"]) * u["x"] + (door["y"] - center["y"]) * u["y"] < 0, -1).otherwise(1))
-    return G.point(u["x"] * flip, u["y"] * flip)
+
+    def let(value: Column, of) -> Column:
+        """of(value) with the value computed once: a lambda's variable is not copied into every place that uses it."""
+        return F.get(F.transform(F.array(value), of), F.lit(0))
+
+    def turned(u: Column) -> Column:
+        out = G.in_ring(G.point(door["x"] + u["x"], door["y"] + u["y"]), ring)
+        other = G.in_ring(G.point(door["x"] - u["x"], door["y"] - u["y"]), ring)
+        away = (door["x"] - center["x"]) * u["x"] + (door["y"] - center["y"]) * u["y"]
+        flip = F.when(out & ~other, -1).when(other & ~out, 1).otherwise(F.when(away < 0, -1).otherwise(1))
+        return let(flip, lambda f: G.point(u["x"] * f, u["y"] * f))
+
+    return let(F.array_min(sides), lambda s: let(F.hypot(s["x"], s["y"]), lambda n: let(G.point(s["x"] / n, s["y"] / n), turned)))
 
 
 def facing_pairs(segments: DataFrame, by: list[str], low: float, high: float, least: float) -> DataFrame:

@@ -288,7 +288,7 @@ ORACLE = {
     "j23_decorate": "SELECT c_custkey, CASE WHEN c_nationkey < 20 THEN 'NATION_' || c_nationkey ELSE 'nation ' || c_nationkey END AS label FROM customer",
     "j06_entrances": """WITH n AS (SELECT c_custkey AS k, c_custkey % 30 AS f, c_custkey * 37 % 1000 AS x, c_custkey * 91 % 1000 AS y FROM customer), m AS (SELECT max(k) AS m FROM n),
       i AS (SELECT a.k, CASE WHEN a.k >= 30 THEN a.k - 30 WHEN a.k + 30 <= m THEN a.k + 30 END AS o FROM n a, m WHERE a.k % 5 = 0),
-      s AS (SELECT n.k, f // 3 AS building, f % 3 + 1 AS level, ['alt', 'main', 'emergency'][n.k % 3 + 1] AS access, CASE WHEN n.k % 35 = 0 THEN 91 WHEN o IS NOT NULL THEN (degrees(atan2(n.x - b.x, b.y - n.y)) + 360) % 360 END AS d FROM n JOIN i USING (k) LEFT JOIN n b ON b.k = i.o),
+      s AS (SELECT n.k, n.f // 3 AS building, n.f % 3 + 1 AS level, ['alt', 'main', 'emergency'][n.k % 3 + 1] AS access, CASE WHEN n.k % 35 = 0 THEN 91 WHEN o IS NOT NULL THEN (degrees(atan2(n.x - b.x, b.y - n.y)) + 360) % 360 END AS d FROM n JOIN i USING (k) LEFT JOIN n b ON b.k = i.o),
       l AS (SELECT *, CASE WHEN d IS NULL THEN 'building' ELSE ['north', 'north-east', 'east', 'south-east', 'south', 'south-west', 'west', 'north-west'][CAST(floor(d / 45 + 0.5) AS BIGINT) % 8 + 1] END AS side FROM s WHERE building < 8),
       o AS (SELECT *, row_number() OVER (PARTITION BY building, side, level ORDER BY ['main', 'alt', 'emergency'].list_position(access), k) AS n FROM l)
       SELECT k AS node, building, access, upper(left(side, 1)) || substr(side, 2) || ' entrance' || CASE WHEN n > 1 THEN ' ' || n ELSE '' END || CASE WHEN level <> 1 THEN ' (level ' || level || ')' ELSE '' END AS label FROM o""",
@@ -314,7 +314,7 @@ ORACLE = {
       + 0.15 * CASE WHEN p_partkey % 50 < 3 THEN 1 WHEN p_partkey % 3 = 0 THEN 0 ELSE greatest(0, cos(radians(p_partkey % 360 - p_partkey * 7 % 360))) END) * 10000 + 0.5) AS DOUBLE) / 10000 AS score FROM part""",
     "m23_outward": "SELECT n_nationkey, CAST(floor(-20 / sqrt(32800::DOUBLE) * 10000 + 0.5) AS DOUBLE) / 10000 AS x, CAST(floor(-180 / sqrt(32800::DOUBLE) * 10000 + 0.5) AS DOUBLE) / 10000 AS y FROM nation",
     "x05_x06_segments": """WITH s AS (SELECT c_nationkey, c_custkey AS seg, CAST(c_custkey * 7 % 50 AS DOUBLE) AS y, CAST(c_custkey * 13 % 200 AS DOUBLE) AS x0, CAST(c_custkey * 13 % 200 + 10 + c_custkey % 30 AS DOUBLE) AS x1 FROM customer),
-      a AS (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY c_nationkey, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 0 ELSE 1 END AS n FROM s), b AS (SELECT *, sum(n) OVER (PARTITION BY c_nationkey, y ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS r FROM a),
+      a AS (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY c_nationkey, y ORDER BY x0, x1, seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 0 ELSE 1 END AS n FROM s), b AS (SELECT *, sum(n) OVER (PARTITION BY c_nationkey, y ORDER BY x0, x1, seg ROWS UNBOUNDED PRECEDING) AS r FROM a),
       m AS (SELECT c_nationkey, count(*) AS n_merged, sum(d) AS total FROM (SELECT c_nationkey, max(x1) - min(x0) AS d FROM b GROUP BY c_nationkey, y, r) GROUP BY 1),
       p AS (SELECT l.c_nationkey, count(*) AS n_pairs FROM s l JOIN s h ON l.c_nationkey = h.c_nationkey AND h.y - l.y BETWEEN 3 AND 6 AND least(l.x1, h.x1) - greatest(l.x0, h.x0) >= 8 GROUP BY 1)
       SELECT c_nationkey, n_merged, total, n_pairs FROM m LEFT JOIN p USING (c_nationkey)""",
