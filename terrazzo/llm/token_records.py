@@ -82,16 +82,30 @@ class Encoding:
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Pieces of these letters alone keep their form under NFC and get lower case letter by letter.
 PLAIN = r"[\x21-\x7e\u00c0-\u012f\u0131-\u024f]*"
+#: The same with spaces and control signs: texts that can be put in lower case as a whole.
+FOLDABLE = r"[\x00-\x7e\u00c0-\u012f\u0131-\u024f]*"
 _ENCODERS: dict[Encoding, PieceEncoder] = {}
 
 
+class _Kept(dict):
+    """A dictionary that works out a missing value once."""
+
+    def __init__(self, work):
+        self.work = work
+
+    def __missing__(self, key: str) -> bytes:
+        got = self[key] = self.work(key)
+        return got
+
+
 class PieceEncoder:
     """Encodes texts piece by piece, remembering pieces and words.
 
     The tokenizer drops white space and never builds a token across it, so a text's ids are those of the
     pieces between spaces and line feeds, in order. A piece of plain Latin letters and ASCII signs is
     split into words here and each word goes to the BPE model once; any other piece goes through the
-    whole tokenizer. Tests hold this against encoding whole texts.
+    whole tokenizer. Texts of such letters alone are put in lower case before they are split, so a word has
+    fewer forms to remember. Tests hold this against encoding whole texts.
     """
 
     def __init__(self, encoding: Encoding):
@@ -102,10 +116,11 @@ class PieceEncoder:
         self.of = encoding
         self.tokenizer = Tokenizer.from_file(encoding.tokenizer)
         self.end = np.array([encoding.end_id], encoding.kind).tobytes()
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = _Kept(self.piece), _Kept(self.word)
+        self.packs = [struct.Struct(f"<{n}{'H' if encoding.width == 2 else 'I'}").pack for n in range(16)]
         self.find = regex.compile(WORD_PATTERN).findall
         self.plain = regex.compile(PLAIN).fullmatch
+        self.foldable = regex.compile(FOLDABLE).fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.bytes_as = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -118,29 +133,36 @@ class PieceEncoder:
         return _ENCODERS[encoding]
 
     def pack(self, ids: list[int]) -> bytes:
+        if len(ids) < len(self.packs):
+            return self.packs[len(ids)](*ids)
         return struct.pack(f"<{len(ids)}{'H' if self.of.width == 2 else 'I'}", *ids)
 
     def word(self, word: str) -> bytes:
         model_form = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes_as)
-        got = self.words[word] = self.pack([t.id for t in self.tokenizer.model.tokenize(model_form)])
-        return got
+        return self.pack([t.id for t in self.tokenizer.model.tokenize(model_form)])
 
     def piece(self, piece: str) -> bytes:
-        if "<|" in piece or not self.plain(piece):
+        if "<|" in piece or not (piece.isascii() and piece.isalpha() or self.plain(piece)):
             return self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         known = self.words
-        return b"".join([known.get(w) or self.word(w) for w in self.find(piece.lower())])
+        # most pieces are one word, or one with a comma or full stop: no need to search for the pattern
+        if piece.isalpha():
+            return known[piece.lower()]
+        if piece[-1:] in (",", ".") and piece[:-1].isalpha():
+            return known[piece[:-1].lower()] + known[piece[-1]]
+        return b"".join([known[w] for w in self.find(piece.lower())])
+
+    def folded(self, text: str) -> str:
+        """The text in lower case if that changes no special token and no letter's form, else as it is."""
+        return text.lower() if "<|" not in text and (text.isascii() or self.foldable(text)) else text
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self.folded(t).replace("\n", " ").split(" ") for t in texts]
         if len(self.pieces) > self.of.cache_words * 6 // 10:
-            self.pieces = {}
+            self.pieces.clear()
         if len(self.words) > self.of.cache_words:
-            self.words = {}
-        known = self.pieces
-        for p in set().union(*split) - known.keys():
-            known[p] = self.piece(p)
-        get = known.__getitem__
+            self.words.clear()
+        get = self.pieces.__getitem__
         return [b"".join(map(get, pieces)) + self.end for pieces in split]
 
 
