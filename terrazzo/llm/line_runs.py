@@ -32,9 +32,14 @@ def _lines(base: DataFrame) -> DataFrame:
 
 
 def _repeated(named: DataFrame) -> DataFrame:
-    """The rows whose name (a, b) occurs more than once, with the first place of that name."""
+    """The rows whose name (a, b) occurs more than once, with the first place of that name.
+
+    The first places are written before the join: so both its sides come straight from a shuffle, and adaptive
+    execution can split the rows of a line that a large share of all documents have.
+    """
     place = F.struct(F.col("id").isNull().alias("n"), "id", "rid", "pos")
     first = named.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = staged(first, "runs-first")
     return named.join(first, ["a", "b"]).withColumn("later", (F.col("first.rid") != F.col("rid")) | (F.col("first.pos") != F.col("pos"))).drop("first")
 
 
