@@ -114,7 +114,8 @@ def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     """
     d = pick(docs, doc_id=id_col, text=text_col)
     d = d.select("doc_id", text_key(F.col("text")).alias("tkey"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = d.join(scan(docs, bench, text_col), "tkey", "left")
+    # written first, so that the join's sides come straight from a shuffle and copies of a hot text can be split
+    out = d.join(staged(scan(docs, bench, text_col), "decon-hits"), "tkey", "left")
     n_hit = F.coalesce(covered(F.col("hits")), F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
@@ -128,10 +129,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "documents", te
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")
-    hits = scan(docs, bench, text_col).select(F.col("tkey").alias("__tkey"), F.col("hits").alias("__hits"))
+    hits = staged(scan(docs, bench, text_col).select(F.col("tkey").alias("__tkey"), F.col("hits").alias("__hits")), "decon-hits")
     text = F.col(f"`{text_col}`")
-    if mode == "documents":
-        return docs.join(hits, text_key(text) == F.col("__tkey"), "left_anti")
+    if mode == "documents":  # the digests alone: at most the bound's rows of 16 bytes are broadcast, else texts are shuffled
+        keys = broadcast_if(hits.select("__tkey"), hits.count(), MAX_BROADCAST_ROWS)
+        return docs.join(keys, text_key(text) == F.col("__tkey"), "left_anti")
     # words and gaps take turns; a leading gap shifts the words by one
     pieces = F.regexp_extract_all(text, F.lit(rf"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     lead = F.when(lower_ascii(text).rlike("^" + WORD_GAP), 1).otherwise(0)
