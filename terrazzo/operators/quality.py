@@ -97,13 +97,13 @@ def with_references(rows: DataFrame, references: list[Reference]) -> tuple[DataF
 def first_problem(rows: DataFrame, key: str, rules: list[Column], references: list[Reference] = ()) -> DataFrame:
     """(key, problem) of rows with one, by the order of the rules; references come last."""
     joined, refs = with_references(rows, list(references))
-    return joined.select(key, F.coalesce(*rules, *refs).alias("problem")).where("problem is not null")
+    return joined.select(key, F.coalesce(*rules, *refs, F.lit(None).cast("string")).alias("problem")).where("problem is not null")
 
 
 def all_problems(rows: DataFrame, key: str, rules: list[Column], references: list[Reference] = ()) -> DataFrame:
     """(key, problem), a row for every broken rule."""
     joined, refs = with_references(rows, list(references))
-    found = F.array_compact(F.array(*rules, *refs))
+    found = F.array_compact(F.array(*rules, *refs, F.lit(None).cast("string")))
     return joined.select(key, F.explode(found).alias("problem"))
 
 
