@@ -197,16 +197,27 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat id and text count as copies, so one of them stays. Columns are as they were.
     """
-    c = components(docs, id_col, text_col, shingle, budget)
+    c = staged(components(docs, id_col, text_col, shingle, budget), "simhash-components")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("tkey").alias("t"))
     # groups without any id are told apart by their fingerprints' root only through the digest kept here
     kept = c.groupBy("component_id").agg(F.min(order).alias("k")) if not _has_null_ids(c) else _kept_with_nulls(c, order)
-    kept = kept.select(F.col("k.i").alias("__id"), F.col("k.t").alias("__tkey")).distinct()
+    kept = kept.select(F.col("k.i").alias("doc_id"), F.col("k.t").alias("tkey")).distinct()
+    times = c.groupBy("doc_id", "tkey").count()
+    same = (times["tkey"] == kept["tkey"]) & times["doc_id"].eqNullSafe(kept["doc_id"])
+    kept = staged(times.join(kept, same, "left_semi").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"), (F.col("count") > 1).alias("__again")), "simhash-kept")
     key, row = text_key(F.col(f"`{text_col}`")), F.col(f"`{id_col}`")
     rows = docs.withColumn("__key", key)
-    rows = rows.join(kept, (rows["__key"] == kept["__tkey"]) & row.eqNullSafe(F.col("__id")), "left_semi")
+
+    def of(kept: DataFrame) -> DataFrame:
+        return rows.join(kept, (rows["__key"] == kept["__tkey"]) & row.eqNullSafe(kept["__id"]), "left_semi")
+
+    names = [f"`{c}`" for c in docs.columns]
+    once = of(kept.where("not __again")).select(*names)
+    again = kept.where("__again")
+    if again.isEmpty():
+        return once
     first = W.partitionBy("__key", f"`{id_col}`").orderBy(F.lit(1))
-    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*(f"`{c}`" for c in docs.columns))
+    return once.unionByName(of(again).withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*names))
 
 
 def _has_null_ids(c: DataFrame) -> bool:
