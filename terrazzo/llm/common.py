@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,18 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
+def sheltered(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`df` with columns that begin with two underscores, as working columns do, under other names; and what
+    gives a result its names back. So no column of a table can clash with an operator's own."""
+    safe = [f"extra {i} {c}" if c.startswith("__") else c for i, c in enumerate(df.columns)]
+    names = dict(zip(safe, df.columns, strict=True))
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in out.columns))
+
+    return (df, lambda out: out) if safe == df.columns else (df.toDF(*safe), back)
+
+
 def bucket_of(value: Column, cuts: list) -> Column:
     """How many of the sorted `cuts` lie below `value`, as an int: two short searches, of about the root of their number."""
     if not cuts:

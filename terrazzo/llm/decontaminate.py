@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.llm.common import WORD_GAP, lower_ascii, pick, text_key, words
+from terrazzo.llm.common import WORD_GAP, lower_ascii, pick, sheltered, text_key, words
 from terrazzo.session import broadcast_if, staged
 
 WINDOW = 10
@@ -129,11 +129,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "documents", te
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")
+    docs, back = sheltered(docs)
     hits = staged(scan(docs, bench, text_col).select(F.col("tkey").alias("__tkey"), F.col("hits").alias("__hits")), "decon-hits")
     text = F.col(f"`{text_col}`")
     if mode == "documents":  # the digests alone: at most the bound's rows of 16 bytes are broadcast, else texts are shuffled
         keys = broadcast_if(hits.select("__tkey"), hits.count(), MAX_BROADCAST_ROWS)
-        return docs.join(keys, text_key(text) == F.col("__tkey"), "left_anti")
+        return back(docs.join(keys, text_key(text) == F.col("__tkey"), "left_anti"))
     # words and gaps take turns; a leading gap shifts the words by one
     pieces = F.regexp_extract_all(text, F.lit(rf"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     lead = F.when(lower_ascii(text).rlike("^" + WORD_GAP), 1).otherwise(0)
@@ -144,7 +145,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "documents", te
 
     cut = F.array_join(F.filter(pieces, stays), "")
     joined = docs.join(hits, text_key(text) == F.col("__tkey"), "left")
-    return joined.select(*(F.when(F.col("__hits").isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return back(joined.select(*(F.when(F.col("__hits").isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns)))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

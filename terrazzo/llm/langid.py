@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.llm.common import pick
+from terrazzo.llm.common import pick, sheltered
 from terrazzo.session import broadcast_if, staged
 
 DIMS_LOG2 = 12
@@ -224,12 +224,13 @@ def accept(docs: DataFrame, languages: set[str] | None = None, fit_rows: int = 8
 
     The model is fitted on the rows' own labels. Columns and texts stay as they are.
     """
+    docs, back = sheltered(docs)
     model = fit(docs, fit_rows=fit_rows)
     p = predict(docs, model, prefix="__")
     keep = (F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least_score)
     if languages is not None:
         keep &= F.col("__lang_pred").isin(sorted(languages))
-    return p.where(keep).select(*(f"`{c}`" for c in docs.columns))
+    return back(p.where(keep).select(*(f"`{c}`" for c in docs.columns)))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

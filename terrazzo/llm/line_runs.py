@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrazzo.llm.common import sheltered
 from terrazzo.session import staged
 
 MIN_LINES, MIN_WORDS = 3, 50
@@ -80,6 +81,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty. Rows that repeat an id are different documents. All other columns stay as they are. Words are
     counted by spaces.
     """
+    docs, back = sheltered(docs)
     names = docs.columns
     base = docs.withColumns({"__rid": F.monotonically_increasing_id(), "__id": F.col(f"`{id_col}`"), "__text": F.col(f"`{text_col}`").cast("string")})
     base = staged(base.select(*(f"`{c}`" for c in names if c != text_col), "__rid", "__id", "__text"), "runs-docs")  # rids are fixed once written
@@ -93,7 +95,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(F.filter(lines, stays), "\n"))
     n = F.when(F.col("__text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    return out.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), n.alias("__n_lines"), F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(removed).alias("__n_removed"))
+    return back(out.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), n.alias("__n_lines"), F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(removed).alias("__n_removed")))
 
 
 def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: dict[str, int], block: int = BLOCK, id_col: st
     __position is the row's place in the whole mix. Null sources and those without a weight share REST,
     which has weight 1 unless named. Rows with null or equal ids are ordered by their hash over all columns;
     rows equal in every column are alike, so their order among themselves doesn't matter. Weights are whole
-    numbers above 0, otherwise ValueError.
+    numbers above 0, otherwise ValueError. `docs` has no column of those names (common.sheltered sees to that).
     """
     weights = dict(weights)
     weights.setdefault(REST, 1)
@@ -95,10 +95,10 @@ def mix(docs: DataFrame, weights: dict[str, int], block: int = BLOCK, id_col: st
         raise ValueError("weights are whole numbers above 0")
     spark = docs.sparkSession
     plain = [F.col(f"`{c}`") for c in docs.columns]
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    rows = docs.withColumns({"__class": class_of(F.col(f"`{source_col}`"), weights), "__key": F.md5(F.concat(F.lit(seed + ":"), ident))})
     wide = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
-    rows = rows.withColumn("__tie", F.xxhash64(*wide))
+    tie = F.xxhash64(*wide)
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("?"), tie.cast("string")))  # null ids spread, too
+    rows = docs.withColumns({"__class": class_of(F.col(f"`{source_col}`"), weights), "__key": F.md5(F.concat(F.lit(seed + ":"), ident)), "__tie": tie})
     n = docs.count()
     digits = 1
     while n > BUCKET_ROWS * 16**digits * 2 and digits < 8:

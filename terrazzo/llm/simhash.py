@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrazzo.llm.common import pick, text_key
+from terrazzo.llm.common import pick, sheltered, text_key
 from terrazzo.operators.components import connected_components
 from terrazzo.session import staged
 
@@ -197,6 +197,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat id and text count as copies, so one of them stays. Columns are as they were.
     """
+    docs, back = sheltered(docs)
     c = staged(components(docs, id_col, text_col, shingle, budget), "simhash-components")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("tkey").alias("t"))
     # groups without any id are told apart by their fingerprints' root only through the digest kept here
@@ -215,9 +216,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once = of(kept.where("not __again")).select(*names)
     again = kept.where("__again")
     if again.isEmpty():
-        return once
+        return back(once)
     first = W.partitionBy("__key", f"`{id_col}`").orderBy(F.lit(1))
-    return once.unionByName(of(again).withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*names))
+    return back(once.unionByName(of(again).withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*names)))
 
 
 def _has_null_ids(c: DataFrame) -> bool:
