@@ -13,6 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrazzo.functions.text import number_of, text
+from terrazzo.session import broadcast_if
+
+#: More patterns than these are not broadcast.
+MAX_PATTERNS = 10_000
 
 
 def blank(c: Column) -> Column:
@@ -130,7 +134,7 @@ def schema_diff(have: list[str], want: list[str]) -> list[str]:
 
 def leaks(texts: DataFrame, key: str, column: str, patterns: DataFrame) -> DataFrame:
     """(key, pattern) where a text holds one of the few guarded patterns (broadcast: a list kept by hand)."""
-    return texts.join(F.broadcast(patterns), F.expr(f"{column} rlike pattern")).select(key, "pattern")
+    return texts.join(broadcast_if(patterns, patterns.count(), MAX_PATTERNS), F.expr(f"{column} rlike pattern")).select(key, "pattern")
 
 
 def root_relative(html: Column) -> Column:

@@ -95,7 +95,7 @@ def j27_cascade(spark, sf):
 def u02_split(spark, sf):
     hidden = table(spark, sf, "nation").where("n_regionkey = 1").select("n_nationkey")
     c = table(spark, sf, "customer")
-    split = c.join(F.broadcast(hidden).withColumn("__h", F.lit(True)), c["c_nationkey"] == F.col("n_nationkey"), "left")
+    split = c.join(hidden.withColumn("__h", F.lit(True)), c["c_nationkey"] == F.col("n_nationkey"), "left")
     return split.select("c_custkey", F.when(F.col("__h"), "private").otherwise("public").alias("part"))
 
 

@@ -101,7 +101,7 @@ def p02_public_cascade(spark, sf):
     """Region 1 is hidden: its nations go, with their customers and suppliers, and lineitems of such suppliers."""
     nation, supplier, lineitem = (table(spark, sf, t) for t in ("nation", "supplier", "lineitem"))
     hidden = nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
-    gone = supplier.join(F.broadcast(hidden), "s_nationkey", "left_semi").select("s_suppkey")
+    gone = supplier.join(hidden, "s_nationkey", "left_semi").select("s_suppkey")
     edges = lineitem.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("a"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % F.lit(50)).alias("b"))
     nodes, kept = M.delete_cascade(supplier, edges, gone, "s_suppkey", ("a", "b"))
     n = nodes.agg(F.count("*").alias("n_nodes"))

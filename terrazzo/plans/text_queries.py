@@ -51,9 +51,9 @@ SELECT p_partkey, {_NORM.format(_RAW)} AS f01_norm,
 FROM part"""
 
 
-def t01_search(spark: SparkSession, sf: str) -> DataFrame:
+def t01_search(spark: SparkSession, sf: str, query: str = QUERY) -> DataFrame:
     codes = [f"b{i}" for i in range(1, 26)]
-    return S.search(_entries(spark, sf), QUERY, codes, 20).select("id", "kind", "title", F.col("score").cast("long").alias("score"))
+    return S.search(_entries(spark, sf), query, codes, 20).select("id", "kind", "title", F.col("score").cast("long").alias("score"))
 
 
 _PREFIX = "(CASE WHEN len(list_filter({w}, lambda x: starts_with(x, '{t}'))) = 0 THEN 0 WHEN list_filter({w}, lambda x: starts_with(x, '{t}'))[1] = '{t}' THEN 2 ELSE 1 END)"
