@@ -198,7 +198,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat id and text count as copies, so one of them stays. Columns are as they were.
     """
     docs, back = sheltered(docs)
-    c = staged(components(docs, id_col, text_col, shingle, budget), "simhash-components")
+    return back(keep_first(docs, components(docs, id_col, text_col, shingle, budget), id_col, text_col))
+
+
+def keep_first(docs: DataFrame, c: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of `docs` for each component of `c`, which has the rows of components()."""
+    c = staged(c, "simhash-components")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("tkey").alias("t"))
     # groups without any id are told apart by their fingerprints' root only through the digest kept here
     kept = c.groupBy("component_id").agg(F.min(order).alias("k")) if not _has_null_ids(c) else _kept_with_nulls(c, order)
@@ -216,9 +221,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once = of(kept.where("not __again")).select(*names)
     again = kept.where("__again")
     if again.isEmpty():
-        return back(once)
+        return once
     first = W.partitionBy("__key", f"`{id_col}`").orderBy(F.lit(1))
-    return back(once.unionByName(of(again).withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*names)))
+    return once.unionByName(of(again).withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*names))
 
 
 def _has_null_ids(c: DataFrame) -> bool:
