@@ -125,12 +125,12 @@ def m08_distance(spark, sf):
 
 
 def j08_nearest(spark, sf):
-    n = S.nearest_segments(points(spark, sf).where("c_custkey < 1000"), segments(spark, sf), "c_custkey", "s_suppkey", CELL, 60.0, 3)
+    n = S.nearest_segments(points(spark, sf), segments(spark, sf), "c_custkey", "s_suppkey", CELL, 60.0, 3)
     return n.select("c_custkey", "s_suppkey", r(F.col("dist")).alias("dist"), F.col("place").cast("long").alias("place"))
 
 
 def j09_nearest_one(spark, sf):
-    n = S.nearest_segments(points(spark, sf).where("c_custkey < 1000"), segments(spark, sf).where("kind = 'path'"), "c_custkey", "s_suppkey", CELL, 60.0)
+    n = S.nearest_segments(points(spark, sf), segments(spark, sf).where("kind = 'path'"), "c_custkey", "s_suppkey", CELL, 60.0)
     return n.select("c_custkey", "s_suppkey", r(F.col("dist")).alias("dist"), r(F.col("t")).alias("t"))
 
 
@@ -145,19 +145,19 @@ n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY d, s) AS place FROM d
 def j11_snap(spark, sf):
     segs = segments(spark, sf)
     t = segs.select("s_suppkey", "a", "b", F.lit(2).alias("rank")).unionByName(segs.select((F.col("s_suppkey") + 10**6).alias("s_suppkey"), "a", F.col("a").alias("b"), F.lit(1).alias("rank")))
-    s = S.snap(points(spark, sf).where("c_custkey < 1000"), t, "c_custkey", "s_suppkey", CELL, 40.0)
+    s = S.snap(points(spark, sf), t, "c_custkey", "s_suppkey", CELL, 40.0)
     return s.select("c_custkey", "s_suppkey", r(F.col("dist")).alias("dist"))
 
 
 def j10_connect(spark, sf):
-    p = points(spark, sf).where("c_custkey < 1000").withColumn("home", (F.col("c_custkey") % 25).cast("int"))
+    p = points(spark, sf).withColumn("home", (F.col("c_custkey") % 25).cast("int"))
     outlines = rings(spark, sf).select(F.col("n_nationkey").alias("home"), "ring")
     c = S.connect(p, segments(spark, sf), outlines, "c_custkey", "s_suppkey", CELL, 60.0)
     return c.select("c_custkey", "s_suppkey", r(F.col("dist")).alias("dist"))
 
 
 def m25_blocked(spark, sf):
-    p = points(spark, sf).where("c_custkey < 300").select(F.col("c_custkey").alias("id"), "p", G.point(F.col("p.x") + 40, F.col("p.y") + 25).alias("q"))
+    p = points(spark, sf).select(F.col("c_custkey").alias("id"), "p", G.point(F.col("p.x") + 40, F.col("p.y") + 25).alias("q"))
     return S.blocked(p, segments(spark, sf).select(F.col("a").alias("wa"), F.col("b").alias("wb")), CELL).select("id")
 
 
@@ -173,7 +173,7 @@ def j07_match(spark, sf):
     names = ["Red Hall", "Blue Center", "Old School", "Red Gym", ""]
     pick = lambda k: F.element_at(F.array(*map(F.lit, names)), (k % 5 + 1).cast("int"))
     shapes = rings(spark, sf).select("n_nationkey", "ring", name_tokens(pick(F.col("n_nationkey"))).alias("tokens"))
-    seeds = points(spark, sf).where("c_custkey < 200").select("c_custkey", "p", name_tokens(pick(F.col("c_custkey"))).alias("tokens"))
+    seeds = points(spark, sf).select("c_custkey", "p", name_tokens(pick(F.col("c_custkey"))).alias("tokens"))
     return S.match_entities(shapes, seeds, "n_nationkey", "c_custkey", "c_custkey", 200.0).select("n_nationkey", "c_custkey", "score", "inside")
 
 
