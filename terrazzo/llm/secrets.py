@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 from terrazzo.llm.common import pick
 
 CHARS = r"A-Za-z0-9_\-+/.~"
-CANDIDATE = rf"(?<![{CHARS}])(?=[A-Za-z_\-+/.~]*[0-9])[{CHARS}]{{12,}}={{0,2}}"
+#: What known kinds of keys begin with, and so many characters that follow; they need no digit.
+FORMS = rf"(?:(?:AKIA|ASIA)[A-Z2-7]{{16}}(?![{CHARS}])|(?:gh[pousr]_[A-Za-z0-9]{{30}}|xox[abprs]-|sk_(?:live|test)_|AIza|eyJ[A-Za-z0-9_-]+\.|glpat-)[{CHARS}]{{8,}}={{0,2}})"
+CANDIDATE = rf"(?<![{CHARS}])(?:(?=[A-Za-z_\-+/.~]*[0-9])[{CHARS}]{{12,}}={{0,2}}|{FORMS})"
+#: Values of any length and signs that a secret word names; its look-behind needs a regex of Java's kind.
+ASSIGNED = r"(?<=(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth(?:orization)?)[\"']?\s{0,3}[=:]\s{0,3}[\"'`]?|(?i:bearer)\s)[^\s\"'`,;<>=:]+"
+FOUND = rf"{CANDIDATE}|(?<![{CHARS}]){ASSIGNED}"
 AROUND = 40
 DICTIONARY = """access account admin about after again also and any app application are auth backup bin bool build cache
 client code com commit common config content core count data date default dev dist doc docs document download
@@ -126,38 +131,60 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 8):
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=17, featureSubsetStrategy="onethird").fit(rows)
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, value, n_found, start, before, after): each text's distinct candidates with their first place, from 0.
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (row, doc_id, value, start, before, after): every place of every candidate, from 0; `row` tells rows of docs apart.
 
-    Null texts have none; a row that repeats keeps its own candidates; whole texts are searched.
+    The pieces between matches give the places, so a value inside a longer run is none. Null texts have none;
+    whole texts are searched.
     """
-    d = pick(docs, doc_id=id_col, text=text_col)
-    found = F.regexp_extract_all(F.col("text").cast("string"), F.lit(CANDIDATE), F.lit(0))
-    d = d.withColumn("found", found).where(F.size("found") > 0)
+    d = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
+    d = d.withColumn("found", F.regexp_extract_all("text", F.lit(FOUND), F.lit(0))).where(F.size("found") > 0)
+    d = d.withColumn("row", F.monotonically_increasing_id()).withColumn("pieces", F.split("text", FOUND, -1))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(s: Column, x: Column) -> Column:
+        at = s["at"] + F.length(x["pieces"])
+        return F.struct((at + F.length(x["found"])).alias("at"), F.array_append(s["starts"], at).alias("starts"))
+
+    d = d.withColumn("pieces", F.slice("pieces", 1, F.size("found")))
+    zipped = F.arrays_zip("pieces", "found")
+    starts = F.aggregate(zipped, none, step)["starts"]
+    each = d.withColumn("starts", starts).select("row", "doc_id", "text", F.explode(F.arrays_zip("found", "starts")).alias("x"))
+    p = F.col("x.starts") + 1
+    return each.select(
+        "row",
+        "doc_id",
+        F.col("x.found").alias("value"),
+        F.col("x.starts").alias("start"),
+        F.substr(F.col("text"), F.greatest(p - AROUND, F.lit(1)), F.least(p - 1, F.lit(AROUND))).alias("before"),
+        F.substr(F.col("text"), p + F.length("x.found"), F.lit(AROUND)).alias("after"),
+    )
 
-    def at(v: Column) -> Column:
-        p = F.position(v, F.col("text"))
-        return F.struct(
-            v.alias("value"),
-            F.size(F.filter("found", lambda x: x == v)).alias("n_found"),
-            (p - 1).alias("start"),
-            F.substr(F.col("text"), F.greatest(p - AROUND, F.lit(1)), F.least(p - 1, F.lit(AROUND))).alias("before"),
-            F.substr(F.col("text"), p + F.length(v), F.lit(AROUND)).alias("after"),
-        )
 
-    each = d.select("doc_id", F.explode(F.transform(F.array_distinct("found"), at)).alias("x"))
-    return each.select("doc_id", "x.*")
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, value, n_found, start, before, after): each text's distinct candidates with their first place.
+
+    A row that repeats keeps its own candidates.
+    """
+    first = F.min_by(F.struct("doc_id", "start", "before", "after"), "start").alias("x")
+    found = occurrences(docs, id_col, text_col).groupBy("row", "value").agg(F.count("*").cast("int").alias("n_found"), first)
+    return found.select("x.doc_id", "value", "n_found", "x.start", "x.before", "x.after")
 
 
 def scan(docs: DataFrame, model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """candidates() with probability and is_secret."""
+    """Each text's distinct candidates, as those of candidates(), with probability and is_secret.
+
+    Every place is scored; start, before and after are those of the place of highest probability, the first of equals.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    found = with_features(candidates(docs, id_col, text_col))
+    found = with_features(occurrences(docs, id_col, text_col))
     found = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
     scored = model.transform(found).withColumn("probability", vector_to_array("probability")[1])
-    return scored.select("doc_id", "value", "n_found", "start", "before", "after", "probability", (F.col("probability") >= threshold).alias("is_secret"))
+    best = F.max_by(F.struct("doc_id", "start", "before", "after", "probability"), F.struct("probability", -F.col("start"))).alias("x")
+    out = scored.groupBy("row", "value").agg(F.count("*").cast("int").alias("n_found"), best)
+    return out.select("x.doc_id", "value", "n_found", "x.start", "x.before", "x.after", "x.probability", (F.col("x.probability") >= threshold).alias("is_secret"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
