@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+_MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` as Spark itself resolves it, with the scheme of its file system, so other readers find the same place."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", re.sub(r"^s3[an]:", "s3:", full))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that setting is absent.
+    """The folder named by spark.checkpoint.dir; without that setting a temporary one in local mode, else ValueError.
 
     The checkpoint folder of the context is set along the way, so `DataFrame.checkpoint` works after this.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="terrazzo-"))
         base = _LOCAL[0]
@@ -33,7 +45,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier call has returned."""
-    return f"{shared_dir(spark)}/terrazzo/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/terrazzo/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what fresh_path has handed out in this process, once no DataFrame that reads it is needed; their number."""
+    jvm, n = spark.sparkContext._jvm, len(_MADE)
+    for path in _MADE:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _MADE.clear()
+    return n
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
