@@ -5,18 +5,20 @@ pairs of their texts as 64-bit hashes, a few million tokens at a time, and send
 distinct hashes and their counts; each shard adds them up. The number of shards follows the input, so a
 shard stays the same size.
 
-Filter. A count c has level q = 1 + floor(log2 c); the filter of its shard holds the keys (hash, 1) ... (hash, q).
-A query asks for level 1, 2, ... until one is absent: a level is never too low, and too high only by a false
-positive (BITS_A_KEY bits and PROBES probes a key: about 2 in 100 for each level).
+Filter. A count c has level q = 1 + floor(s log2 c), where s is 4 for words and 1 for pairs; the filter of its shard
+holds the keys (hash, 1) ... (hash, q). A query asks for level 1, 2, ... until one is absent: a level is never too low,
+and too high only by a false positive (BITS_A_KEY bits and PROBES probes a key: about 2 in 100 for each level).
 
-Model. P(w | v) = l * c(v w) / c(v) + (1 - l) * (c(w) + 1) / (N + V + 1), where counts are the middle of their
-level, those of the HEAD most frequent words are exact, and l depends on v's level. The weights l come from a
-grid, by the likelihood of a bounded sample of training texts with each pair's own occurrence left out.
+Model. P(w | v) = l * c(v w) / c(v) + (1 - l) * (c(w) + 1) / (N + V + 1), where every count is the middle of its level
+and l depends on how many doublings v's count has. The weights l come from a grid, by the likelihood of all training
+texts with each pair's own occurrence left out.
 
 Small filters are broadcast (at most BROADCAST_BYTES); workers read larger ones shard by shard from the shared
-folder, in the same loop and with the same result, so a worker's memory holds one shard at a time.
+folder, in the same loop and with the same result, so a worker's memory holds one shard at a time. Each batch of
+tokens then reads the shards that it touches, so reads grow faster than the corpus: see the README.
 
-The base score needs exact counts: head words are looked up in the worker, all others joined with the count table.
+The base score needs exact counts: those of the HEAD most frequent words are looked up in the worker, all others
+joined with the count table.
 """
 
 from __future__ import annotations
@@ -37,10 +39,12 @@ HEAD = 1 << 18
 BITS_A_KEY, PROBES = 8, 4
 BROADCAST_BYTES = 96 << 20
 SHARD_CHARS = 24_000_000
-FLUSH_TOKENS = 2_500_000
-FIT_TEXTS = 1_500
+FLUSH_TOKENS = 1_200_000
+BATCH_TOKENS = 500_000
 GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 WORD, PAIR = 0, 1
+#: Levels to a doubling of the count.
+STEPS = {WORD: 4, PAIR: 1}
 END, START = 0xE7D5A1B3C9F02468, 0x1B873593CC9E2D51
 _U = np.uint64
 
@@ -70,23 +74,48 @@ def previous(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return prev
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, the number of each place's key, and how often each occurs."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    back = np.empty(len(keys), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[first], order[first], back, np.diff(np.append(first, len(keys)))
+
+
+def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs; `keys` is sorted in place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their counts."""
     if not len(keys):
-        return keys, n
-    order = np.argsort(keys, kind="stable")
+        return keys, n.astype(np.int64)
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(n.astype(np.int64), first)
+    return keys[first], np.add.reduceat(n, first, dtype=np.int64)
+
 
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each key; it never falls as keys grow."""
+    return ((keys >> _U(32)) * _U(shards)) >> _U(32)
 
-def level(c: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64)
 
+def level(c: np.ndarray, steps: int = 1) -> np.ndarray:
+    return 1 + np.floor(np.log2(np.maximum(c, 1)) * steps + 1e-9).astype(np.int64)
 
-def middle(q: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: 0, 1, 2.5, 5.5, ... (the mean of its integers)."""
-    return np.where(q > 0, (3.0 * 2.0 ** (q - 1) - 1) / 2, 0.0)
+
+def middle(q: np.ndarray, steps: int = 1) -> np.ndarray:
+    """The count that a level stands for: 0, then the mean of its integers (1, 2.5, 5.5, ... with one level a doubling)."""
+    lo, hi = np.ceil(2.0 ** ((q - 1) / steps) - 1e-9), np.ceil(2.0 ** (q / steps) - 1e-9) - 1
+    return np.where(q > 0, np.where(lo <= hi, (lo + hi) / 2, 2.0 ** ((q - 0.5) / steps)), 0.0)
 
 
 def places(low: np.ndarray, q: int, bits: int) -> list[np.ndarray]:
@@ -97,9 +126,9 @@ def places(low: np.ndarray, q: int, bits: int) -> list[np.ndarray]:
     return [(g + _U(k) * step) % _U(bits) for k in range(PROBES)]
 
 
-def build(low: np.ndarray, c: np.ndarray) -> bytes:
+def build(low: np.ndarray, c: np.ndarray, steps: int = 1) -> bytes:
     """The filter of one shard from the low 32 bits of its hashes and their counts."""
-    q = level(c)
+    q = level(c, steps)
     size = max(64, int(q.sum()) * BITS_A_KEY + 7 & ~7)
     on = np.zeros(size, bool)
     for k in range(1, int(q.max(initial=0)) + 1):
@@ -134,20 +163,16 @@ def count_shards(texts: DataFrame, shards: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             tokens = np.concatenate(held)
-            prev = lm.previous(tokens, np.array([len(x) for x in held]))
-            rows = []
-            for kind, keys in ((lm.WORD, tokens), (lm.PAIR, lm.pair_keys(prev, tokens))):
-                keys, n = lm.merge(keys, np.ones(len(keys), np.int32))
-                shard = (keys >> lm._U(32)) % lm._U(shards)
-                order = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                for s in range(shards):
-                    at = order[cut[s] : cut[s + 1]]
-                    if len(at):
-                        own = keys[at] if kind == lm.WORD else keys[at].astype(np.uint32)
-                        rows.append((kind, s, own.tobytes(), np.minimum(n[at], 2**31 - 1).astype(np.int32).tobytes()))
+            pairs = lm.pair_keys(lm.previous(tokens, np.array([len(x) for x in held])), tokens)
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], ["kind", "shard", "keys", "counts"])
+            for kind, keys in ((lm.WORD, tokens), (lm.PAIR, pairs)):
+                keys, n = lm.tally(keys)
+                cut = np.searchsorted(lm.shard_of(keys, shards), np.arange(shards + 1))
+                n = np.minimum(n, 2**31 - 1).astype(np.int32)
+                own = keys if kind == lm.WORD else keys.astype(np.uint32)
+                some = np.flatnonzero(np.diff(cut))
+                parts = [[a[cut[i] : cut[i + 1]].tobytes() for i in some] for a in (own, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int64()), pa.array(some), *map(pa.array, parts)], ["kind", "shard", "keys", "counts"])
 
         size = 0
         for b in batches:
@@ -168,7 +193,7 @@ def count_shards(texts: DataFrame, shards: int) -> DataFrame:
         n = np.concatenate([np.frombuffer(x, "<i4") for x in group["counts"]])
         del group
         keys, n = lm.merge(keys, n)
-        filt = lm.build((keys & lm._U(0xFFFFFFFF)).astype(np.uint32) if kind == lm.WORD else keys, n)
+        filt = lm.build(keys.astype(np.uint32), n, lm.STEPS[kind])
         own = kind == lm.WORD
         return pd.DataFrame({"kind": [kind], "shard": [shard], "keys": [keys.tobytes() if own else b""], "counts": [n.astype("<i8").tobytes() if own else b""], "filter": [filt], "n_keys": [len(keys)], "n_tokens": [int(n.sum())]})
 
@@ -219,48 +244,48 @@ class Model:
         return None
 
     def probe(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """The level of each of the sorted `keys`."""
         out = np.zeros(len(keys), np.int64)
-        shard = ((keys >> _U(32)) % _U(self.shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        cut = np.searchsorted(shard_of(keys, self.shards), np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cut)):
-            at = order[cut[s] : cut[s + 1]]
             if (f := self.filter(kind, int(s))) is not None:
-                out[at] = levels(f, (keys[at] & _U(0xFFFFFFFF)).astype(np.uint32))
+                out[cut[s] : cut[s + 1]] = levels(f, keys[cut[s] : cut[s + 1]].astype(np.uint32))
         return out
 
-    def counts(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token its count (exact for head words, else its level's middle) and whether it is a head word."""
-        u, back = np.unique(tokens, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.head, u), max(0, len(self.head) - 1))
-        in_head = self.head[at] == u if len(self.head) else np.zeros(len(u), bool)
-        c = np.where(in_head, self.head_n[at] if len(self.head) else 0, 0).astype(np.float64)
-        rest = np.flatnonzero(~in_head)
-        c[rest] = middle(self.probe(WORD, u[rest]))
-        return c[back], in_head[back]
-
-    def parts(self, tokens: np.ndarray, sizes: np.ndarray, texts: int, left_out: int = 0):
-        """(c of each word, whether it is a head word, P of it alone, P of it after its predecessor, the
-        predecessor's level); left_out: occurrences to take off each count."""
-        c, in_head = self.counts(tokens)
+    def exact(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of those of the words `u` that are head words (0 for others), and which these are."""
+        if not len(self.head):
+            return np.zeros(len(u)), np.zeros(len(u), bool)
+        at = np.minimum(np.searchsorted(self.head, u), len(self.head) - 1)
+        found = self.head[at] == u
+        return np.where(found, self.head_n[at], 0).astype(np.float64), found
+
+    def pairs(self, tokens: np.ndarray, sizes: np.ndarray, texts: int, left_out: int = 0):
+        """For the distinct pairs of the texts' tokens: (P of the word alone, P after its predecessor, the predecessor's
+        weight class, how often the pair occurs, the number of each token's pair); left_out: occurrences to take off
+        each count. And for the distinct words: (the words, the number of each token's word)."""
+        u, _, word, _ = distinct(tokens)
+        c = middle(self.probe(WORD, u), STEPS[WORD])
         prev = previous(tokens, sizes)
-        c_prev = np.empty_like(c)
-        c_prev[1:] = c[:-1]
-        c_prev[np.cumsum(sizes) - sizes] = texts
-        both = (c > 0) & (c_prev > 0)
-        pair = np.zeros(len(c))
-        keys, back = np.unique(pair_keys(prev[both], tokens[both]), return_inverse=True)
-        pair[both] = middle(self.probe(PAIR, keys))[back]
-        alone = (np.maximum(c - left_out, 0) + 1) / (self.n + self.v + 1)
+        keys, at, back, n = distinct(pair_keys(prev, tokens))
+        before = np.concatenate(([0], word[:-1]))
+        head = np.zeros(len(tokens), bool)
+        head[np.cumsum(sizes) - sizes] = True
+        c_word, c_prev = c[word[at]], np.where(head[at], float(texts), c[before[at]])
+        pair = np.zeros(len(keys))
+        both = (c_word > 0) & (c_prev > 0)
+        pair[both] = middle(self.probe(PAIR, keys[both]), STEPS[PAIR])
+        alone = (np.maximum(c_word - left_out, 0) + 1) / (self.n + self.v + 1)
         after = np.minimum(1.0, np.maximum(pair - left_out, 0) / np.maximum(c_prev - left_out, 1))
-        return c, in_head, alone, after, np.minimum(level(c_prev) * (c_prev > 0), len(self.weights) - 1)
+        q = np.minimum(level(c_prev) * (c_prev > 0), len(self.weights) - 1)
+        return alone, after, q, n, back, u, word
 
 
-def batches_of(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def batches_of(texts: pa.Array, most: int = BATCH_TOKENS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Ranges of rows with their tokens and sizes, about `most` tokens each and one row at least."""
     lo, held, total = 0, [], 0
     for i, t in enumerate(texts):
-        held.append(hashes(t))
+        held.append(hashes(t.as_py()))
         total += len(held[-1])
         if total >= most or i == len(texts) - 1:
             yield lo, i + 1, np.concatenate(held), np.array([len(x) for x in held])
@@ -268,10 +293,7 @@ def batches_of(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple
 
 
 def fit(texts: DataFrame) -> tuple[Model, DataFrame, int]:
-    """The model of a column `text` (no nulls), the word counts, and the number of texts.
-
-    The grid's sample is a share of the texts by their hash, about FIT_TEXTS of them; counts cover all.
-    """
+    """The model of a column `text` (no nulls), the word counts, and the number of texts; all texts decide on all of it."""
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("k")).first()
     shards = max(4, -(-int(size.n or 0) // SHARD_CHARS))
@@ -296,24 +318,23 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame, int]:
 
 
 def weigh(texts: DataFrame, model: Model, n_texts: int) -> np.ndarray:
-    share = min(1.0, FIT_TEXTS / n_texts)
-    lot = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    """The weight of each class from the sums over all `texts`; a task sends 64 x len(GRID) numbers."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from terrazzo.llm import bloom_lm as lm
 
         m = shared.value
         sums = np.zeros((len(m.weights), len(lm.GRID)))
         for b in batches:
-            for _, _, tokens, sizes in lm.batches_of(b["text"].tolist(), 300_000):
-                _, _, alone, after, q = m.parts(tokens, sizes, n_texts, 1)
+            for _, _, tokens, sizes in lm.batches_of(b.column("text")):
+                alone, after, q, n, *_ = m.pairs(tokens, sizes, n_texts, 1)
                 for k, l in enumerate(lm.GRID):
-                    sums[:, k] += np.bincount(q, np.log(l * after + (1 - l) * alone), len(sums))
+                    sums[:, k] += np.bincount(q, n * np.log(l * after + (1 - l) * alone), len(sums))
         q, k = np.meshgrid(np.arange(len(sums)), np.arange(len(lm.GRID)), indexing="ij")
-        yield pd.DataFrame({"q": q.ravel(), "k": k.ravel(), "s": sums.ravel()})
+        yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (q, k, sums)], ["q", "k", "s"])
 
-    got = texts.where(lot < share).select("text").mapInPandas(run, "q long, k long, s double").groupBy("q", "k").agg(F.sum("s").alias("s")).toPandas()
+    got = texts.select("text").mapInArrow(run, "q long, k long, s double").groupBy("q", "k").agg(F.sum("s").alias("s")).toPandas()
     sums = np.zeros((len(model.weights), len(GRID)))
     sums[got["q"], got["k"]] = got["s"]
     return np.where((sums != 0).any(axis=1), GRID[sums.argmax(axis=1)], 0.3)
@@ -338,10 +359,12 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
         m = shared.value
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo, hi, tokens, sizes in lm.batches_of(texts):
-                c, in_head, alone, after, q = m.parts(tokens, sizes, n_texts)
+            for lo, hi, tokens, sizes in lm.batches_of(b.column("text")):
+                alone, after, q, _, back, u, word = m.pairs(tokens, sizes, n_texts)
                 l = m.weights[q]
+                log = np.log10(l * after + (1 - l) * alone)
+                c, found = m.exact(u)
+                c_log, in_head = np.where(found, np.log10(c + 1), 0.0)[word], found[word]
                 start = np.cumsum(sizes) - sizes
                 total = lambda x: np.add.reduceat(x, start)  # noqa: B023, E731
                 rest = ~in_head
@@ -349,7 +372,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 ends = np.concatenate(([0], np.cumsum(n_rest))).astype(np.int32)
                 tail = pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[rest].view(np.int64)))
                 cols = [b.column("doc_id").slice(lo, hi - lo), b.column("train").slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(sizes - n_rest)]
-                cols += [pa.array(total(np.where(in_head, np.log10(c + 1), 0.0))), pa.array(total(np.log10(l * after + (1 - l) * alone))), tail]
+                cols += [pa.array(total(c_log)), pa.array(total(log[back])), tail]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "train", "n_tokens", "head_known", "head_log", "score", "tail"])
 
     scored = d.mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, head_known long, head_log double, score double, tail array<long>")
@@ -370,6 +393,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
 
 def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from those whose crc32(doc_id) mod 7 is not 2; null ids train, null texts are empty."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     s = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), ~held)
     return s.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
