@@ -5,13 +5,15 @@ hashed to a wide vector, and the fingerprint is the sum of the vectors modulo po
 depend on order, and a paragraph is inserted or deleted by adding or subtracting its vector (`combine`).
 
 The vector of a paragraph has
-- 60 narrow lanes, bits of its XXH64, 20 bits apart in 20 longs that are added modulo 2^60,
-- two wide lanes of 60 hash bits each, added modulo 2^60, which set unequal multisets apart, and
+- 126 narrow lanes, bits of two XXH64 hashes; 42 longs hold three lanes each, 21 bits apart, which are added modulo
+  2^20 (the bit between takes the carry and is cleared),
+- two wide lanes of 62 bits of two more hashes, added modulo 2^62, which set unequal multisets apart, and
 - a count of paragraphs.
+The four hashes are of separately salted texts, so none follows from another.
 
-With n paragraphs a narrow lane's sum c gives 2c - n, a sum of +1 and -1. The product of two texts' lanes
-estimates how many paragraphs they share (counted with multiplicity), so the cosine estimates likeness with a
-standard error of about 1/8; it is clipped to 0..1.
+With n paragraphs a narrow lane's sum c gives 2c - n, a sum of +1 and -1 (exact while it is below 2^20). The product
+of two texts' lanes estimates how many paragraphs they share (counted with multiplicity), so the cosine estimates
+likeness with a standard error of about 1/11; it is clipped to 0..1.
 
 Everything is made of DataFrame functions, and a fingerprint is computed inside its row, without a shuffle.
 """
@@ -23,12 +25,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrazzo.llm.common import bucket_of, pick, text_key
-from terrazzo.session import shuffle_partitions
 
-FIELD, FIELDS = 20, 3
-LANES = FIELD * FIELDS
+FIELD, FIELDS, HASHES = 21, 3, ("h", "i")
 _ONES = sum(1 << FIELD * k for k in range(FIELDS))
-_MOD = (1 << LANES) - 1
+_LANES = _ONES * ((1 << FIELD - 1) - 1)
+_WIDE = (1 << 62) - 1
+#: Characters of text in a range of documents, which one task sorts.
+RANGE_CHARS = 16_000_000
 #: Ends of paragraphs: line feeds, and full stops, question and exclamation marks before white space.
 PARAGRAPH_END = r"\n+|(?<=[.!?])\s+"
 
@@ -39,35 +42,45 @@ def paragraphs(text: Column) -> Column:
 
 def with_vector(df: DataFrame, text: str, name: str) -> DataFrame:
     """`df` with column `name`: the vector struct(lanes, a, b, n) of the text column; null counts as empty."""
-    keys = F.transform(paragraphs(F.col(text)), lambda p: F.struct(F.xxhash64(p).alias("h"), F.xxhash64(p, F.lit(1)).alias("a"), F.xxhash64(p, F.lit(2)).alias("b")))
+    salted = {"h": "", "i": "i", "a": "a", "b": "b"}
+    keys = F.transform(paragraphs(F.col(text)), lambda p: F.struct(*(F.xxhash64(F.concat(F.lit(salt), p) if salt else p).alias(f) for f, salt in salted.items())))
     df, k = df.withColumn("__keys", keys), F.col("__keys")
-    zero, mod = F.lit(0).cast("long"), F.lit(_MOD)
+    zero, lanes = F.lit(0).cast("long"), F.lit(_LANES)
 
-    def lane(g: int) -> Column:
-        return F.aggregate(k, zero, lambda s, x: (s + F.shiftrightunsigned(x["h"], g).bitwiseAND(F.lit(_ONES))).bitwiseAND(mod))
+    def lane(f: str, g: int) -> Column:
+        return F.aggregate(k, zero, lambda s, x: (s + F.shiftrightunsigned(x[f], g).bitwiseAND(F.lit(_ONES))).bitwiseAND(lanes))
 
     def wide(f: str) -> Column:
-        return F.aggregate(k, zero, lambda s, x: (s + x[f].bitwiseAND(mod)).bitwiseAND(mod))
+        return F.aggregate(k, zero, lambda s, x: _mod(s + x[f].bitwiseAND(F.lit(_WIDE))))
 
-    v = F.struct(F.array(*map(lane, range(FIELD))).alias("lanes"), wide("a").alias("a"), wide("b").alias("b"), F.size(k).cast("long").alias("n"))
+    v = F.struct(F.array(*(lane(f, g) for f in HASHES for g in range(FIELD))).alias("lanes"), wide("a").alias("a"), wide("b").alias("b"), F.size(k).cast("long").alias("n"))
     return df.withColumn(name, v).drop("__keys")
 
 
+def _mod(x: Column) -> Column:
+    """Modulo 2^62; two such numbers add up without overflow."""
+    return x.bitwiseAND(F.lit(_WIDE))
+
+
 def combine(v: Column, w: Column, sign: int = 1) -> Column:
     """The vector of the union of two multisets (sign 1), or of the first without the second (sign -1)."""
-    mod = F.lit(_MOD)
+    guard = F.lit(_ONES << FIELD - 1)
 
-    def add(x: Column, y: Column) -> Column:
-        return (x + F.lit(sign) * y).bitwiseAND(mod)
+    def fields(x: Column, y: Column) -> Column:
+        # a set bit between the fields lends to the one below it, so a difference wraps within its field
+        return (x + y if sign > 0 else x.bitwiseOR(guard) - y).bitwiseAND(F.lit(_LANES))
 
-    return F.struct(F.zip_with(v["lanes"], w["lanes"], add).alias("lanes"), add(v["a"], w["a"]).alias("a"), add(v["b"], w["b"]).alias("b"), (v["n"] + F.lit(sign) * w["n"]).alias("n"))
+    def wide(x: Column, y: Column) -> Column:
+        return _mod(x + y if sign > 0 else x - y)
+
+    return F.struct(F.zip_with(v["lanes"], w["lanes"], fields).alias("lanes"), wide(v["a"], w["a"]).alias("a"), wide(v["b"], w["b"]).alias("b"), (v["n"] + F.lit(sign) * w["n"]).alias("n"))
 
 
 def digits(v: Column) -> Column:
-    """The vector as lower-case hex digits: 15 a long."""
+    """The vector as lower-case hex digits: 16 a long."""
 
     def text(x: Column) -> Column:
-        return F.lpad(F.hex(x), 15, "0")
+        return F.lpad(F.hex(x), 16, "0")
 
     return F.lower(F.concat(F.array_join(F.transform(v["lanes"], text), ""), text(v["a"]), text(v["b"]), text(v["n"])))
 
@@ -76,7 +89,8 @@ def signs(v: Column) -> Column:
     """The narrow lanes as sums of +1 and -1, as doubles."""
 
     def field(x: Column, k: int) -> Column:
-        return (F.shiftright(x, FIELD * k).bitwiseAND(F.lit((1 << FIELD) - 1)) * 2 - v["n"]).cast("double")
+        twice = F.shiftright(x, FIELD * k).bitwiseAND(F.lit((1 << FIELD - 1) - 1)) * 2 - v["n"]
+        return (F.pmod(twice + (1 << FIELD - 1), F.lit(1 << FIELD)) - (1 << FIELD - 1)).cast("double")
 
     return F.flatten(F.transform(v["lanes"], lambda x: F.array(*(field(x, k) for k in range(FIELDS)))))
 
@@ -93,16 +107,36 @@ def likeness(v: Column, w: Column) -> Column:
     return F.when(v == w, 1.0).when((norm == 0) | (v["n"] == 0) | (w["n"] == 0), 0.0).otherwise(F.greatest(zero, F.least(F.lit(1.0), dot(s, t) / norm)))
 
 
+def in_ranges(rows: DataFrame, key: str, parts: int, at_once: int = 1_000) -> Column:
+    """About `parts` ranges of `key` of as many rows each, as a whole number that grows with the key.
+
+    Beyond `at_once` parts each of as many outer ranges is parted by the mean spacing of its keys, so the plan holds
+    no more cuts than that.
+    """
+    outer = min(parts, at_once)
+    points = [i / outer for i in range(outer + 1)]
+    cuts = rows.agg(F.percentile_approx(key, points, max(10_000, 10 * outer)).alias("q")).first().q if parts > 1 else None
+    if not cuts:
+        return F.lit(0)
+    at = bucket_of(F.col(key), sorted(set(cuts[1:-1])))
+    if parts <= at_once:
+        return at
+    inner = -(-parts // outer)
+    edges = F.array(*map(F.lit, [cuts[0], *sorted(set(cuts[1:-1])), cuts[-1]]))
+    lo, hi = F.get(edges, at), F.get(edges, at + 1)
+    share = F.floor((F.col(key) - lo) * inner / F.greatest(hi - lo + 1, F.lit(1)))
+    return at.cast("long") * inner + F.greatest(F.lit(0), F.least(F.lit(inner - 1), share))
+
+
 def with_next(rows: DataFrame, key: str, value: str, parts: int) -> DataFrame:
     """`rows` (distinct column names) with column `next`: `value` of the row that follows by descending `key`.
 
     After the last row comes the first; a sole row follows itself. Null keys come last; rows that share a
-    key are ordered by `value`'s digest column tkey. Rows are dealt to about `parts` ranges of the key, a
-    range is sorted within its task, and only the first row of each range is fetched for the range before.
+    key are ordered by `value`'s digest column tkey. The rows of one key, null too, are in one range. Rows are dealt to about `parts` ranges of the key, a
+    range is sorted within its task, and only the first row of each range is fetched for the range before, by a
+    broadcast of `parts` + 2 keys.
     """
-    points = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(rows.agg(F.percentile_approx(key, points, max(10_000, 10 * parts)).alias("q")).first().q or [])) if points else []
-    rows = rows.withColumn("__b", F.when(F.col(key).isNull(), -1).otherwise(bucket_of(F.col(key), cuts)))
+    rows = rows.withColumn("__b", F.when(F.col(key).isNull(), -1).otherwise(in_ranges(rows, key, parts)))
     # of each range the first row: by key and digest alone, then its value by a join with those few rows
     lead = F.struct(F.col(key).alias("k"), F.col("tkey").alias("t"))
     tops = rows.groupBy("__b").agg(F.max(lead).alias("top"))
@@ -110,7 +144,7 @@ def with_next(rows: DataFrame, key: str, value: str, parts: int) -> DataFrame:
     follows = F.coalesce(F.lead("top").over(after), F.first("top").over(after.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     tops = tops.select("__b", follows.alias("f")).select(F.col("__b").alias("__of"), F.col("f.k").alias("__k"), F.col("f.t").alias("__t"))
     first = rows.select(F.col(key).alias("__key"), F.col("tkey").alias("__tkey"), F.col(value).alias("__first"))
-    first = tops.join(first, F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__t") == F.col("__tkey")))
+    first = F.broadcast(tops).join(first, F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__t") == F.col("__tkey")))
     first = first.groupBy("__of").agg(F.first("__first").alias("__first"))
     w = W.partitionBy("__b").orderBy(F.col(key).desc_nulls_last(), F.col("tkey").desc())
     led = rows.withColumn("__lead", F.lead(value).over(w)).withColumn("__last", F.row_number().over(w) == F.count("*").over(W.partitionBy("__b")))
@@ -126,8 +160,9 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     d = pick(docs, doc_id=id_col, text=text_col)
     d = d.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    parts = max(1, -(-int(d.agg(F.sum(F.length("text"))).first()[0] or 0) // RANGE_CHARS))
     d = with_vector(d, "text", "v").select("doc_id", text_key(F.col("text")).alias("tkey"), "v", F.struct("text", "v").alias("own"))
-    d = with_next(d.select("doc_id", "tkey", "own"), "doc_id", "own", shuffle_partitions(docs.sparkSession))
+    d = with_next(d.select("doc_id", "tkey", "own"), "doc_id", "own", parts)
     d = d.select("doc_id", F.col("own.text").alias("text"), F.col("own.v").alias("v"), F.col("next.text").alias("after"), F.col("next.v").alias("next_v"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
@@ -136,6 +171,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, with likenesses; null texts are empty, see edited_pairs."""
     p = edited_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     v, e = F.col("v"), F.col("edited_v")
     return p.select(
