@@ -1,3 +1,7 @@
+import re
+import time
+from html import unescape
+
 import pytest
 
 from terrazzo.llm import html_text as h
@@ -25,6 +29,38 @@ def test_ratio_fallback():
     assert h.main_text(page) == "\n".join([long.strip()] * 2)
 
 
+def by_elements(html):
+    """A second reading of the test pages by patterns alone: the article's blocks in order."""
+    if not html or "<article>" not in html:
+        return ""
+    body = html.split("<article>", 1)[1].split("</article>", 1)[0]
+    blocks = re.split(r"</?(?:p|h1)>", re.sub(r"<!--.*?-->", "", body, flags=re.S))
+    return "\n".join(t for b in blocks if (t := re.sub(r"\s+", " ", unescape(re.sub(r"</?b>", "", b.replace("<br>", " ")))).strip()))
+
+
+def test_all_pages_go_through_the_threshold(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    calls, real = [], h.threshold
+    monkeypatch.setattr(h, "threshold", lambda v: calls.append(len(v)) or real(v))
+    for r in pages:
+        assert h.main_text(r.html) == by_elements(r.html)
+    assert len(calls) == sum(bool(r.html) for r in pages)
+
+
+def test_adjusted_densities_decide():
+    page = "<div>left out, though it is a rather long line of text that has no tags in it at all</div><article><p>a</p><p>bb</p></article>"
+    assert h.main_text(page) == "a\nbb"
+    assert h.main_text(page.replace("article", "section")).startswith("left out")
+    assert h.main_text('<article><p>x</p><div class="related">y</div><div class="sidebar">z</div><math>n</math></article>') == "x\ny\nn"
+
+
+def test_hostile_pages_take_linear_time():
+    for page in ("<b>" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "<p>" * 20_000, "<b>" * 20_000 + "<div></div>" * 20_000, "<li>" * 20_000 + "</ul>" * 20_000):
+        start = time.process_time()
+        h.main_text(page + "x")
+        assert time.process_time() - start < 3
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>a</p>", "y"), (None, "v", "<p>b", "z")], "page_id long, url string, html string, text string")
     got = sorted((str(r.page_id), str(r.url), r.text) for r in h.extract(df).collect())
