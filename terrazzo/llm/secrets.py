@@ -17,7 +17,7 @@ from terrazzo.llm.common import pick
 
 CHARS = r"A-Za-z0-9_\-+/.~"
 #: What known kinds of keys begin with, and so many characters that follow; they need no digit.
-FORMS = rf"(?:(?:AKIA|ASIA)[A-Z2-7]{{16}}(?![{CHARS}])|(?:gh[pousr]_[A-Za-z0-9]{{30}}|xox[abprs]-|sk_(?:live|test)_|AIza|eyJ[A-Za-z0-9_-]+\.|glpat-)[{CHARS}]{{8,}}={{0,2}})"
+FORMS = rf"(?:(?:AKIA|ASIA)[A-Z2-7]{{16}}(?![{CHARS}])|(?:gh[pousr]_[A-Za-z0-9]{{30}}|xox[abprs]-|sk_(?:live|test)_|AIza|eyJ[A-Za-z0-9_-]+\.|glpat-)[{CHARS}]{{8,}}={{0,2}}|-----BEGIN (?:[A-Z]+ ){{0,2}}PRIVATE KEY-----)"
 CANDIDATE = rf"(?<![{CHARS}])(?:(?=[A-Za-z_\-+/.~]*[0-9])[{CHARS}]{{12,}}={{0,2}}|{FORMS})"
 #: Values of any length and signs that a secret word names; its look-behind needs a regex of Java's kind.
 ASSIGNED = r"(?<=(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth(?:orization)?)[\"']?\s{0,3}[=:]\s{0,3}[\"'`]?|(?i:bearer)\s)[^\s\"'`,;<>=:]+"
@@ -34,7 +34,7 @@ url usr user utf util value var version view web widget window with work www xml
 die der das und nicht ein eine mit für auf von les des une est dans que pour los las una del por con""".split()
 SECRET_WORDS = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth(orization)?|bearer|login)\W{0,6}$"
 PLAIN_WORDS = r"(?i)(commit|sha-?1|sha256|md5|checksum|digest|uuid|guid|revision|etag|build|version|isbn|phone|tel|order|invoice|id|no|nr|number)\W{0,4}$"
-KNOWN = r"^(AKIA|ASIA)[A-Z2-7]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}|^xox[abprs]-|^sk_(live|test)_|^AIza|^eyJ[A-Za-z0-9_-]+\.|^glpat-"
+KNOWN = r"^(AKIA|ASIA)[A-Z2-7]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}|^xox[abprs]-|^sk_(live|test)_|^AIza|^eyJ[A-Za-z0-9_-]+\.|^glpat-|^-----BEGIN [A-Z ]*PRIVATE KEY-----$"
 FEATURES = "n digits uppers lowers others changes variety hex dictionary slashes dots dashes known secret_word plain_word assigned quoted address uuid number".split()
 LABEL = "label"
 
@@ -101,6 +101,7 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (1, f"concat('sk_live_', substr({alnum}, 1, 24))", prose),
         (1, f"concat('xoxb-', substr(translate({h}, 'abcdef', '123456'), 1, 11), '-', substr({alnum}, 1, 24))", prose),
         (1, f"substr({b64}, 1, 40)", sure),
+        (1, f"concat('-----BEGIN ', {pick_word(['', 'RSA ', 'EC ', 'OPENSSH ', 'ENCRYPTED '], 'b')}, 'PRIVATE KEY-----')", prose),
         (0, f"substr(translate({h}, 'abcdef', '730219'), 1, 12 + cast(pmod(id, 8) as int))", f"concat({prose}, {pick_word(['', '', 'number ', 'tel '], 'n')})"),
         (0, f"substr({h}, 1, 40)", f"concat({prose}, {pick_word(['commit ', 'sha1: ', 'revision ', 'checksum ', ''], 'c')})"),
         (0, f"substr({h}, 1, 32)", f"concat({prose}, {pick_word(['md5 ', 'md5: ', 'etag ', 'digest ', ''], 'm')})"),
@@ -113,12 +114,10 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (0, "concat_ws('.', 10 + pmod(id, 200), 100 + pmod(id * 7, 150), 100 + pmod(id * 3, 150), 10 + pmod(id, 90))", prose),
         (0, f"concat('word', {pick_word(['ingerth', 'heration', 'keitung', 'mentelle'], 'w')}, pmod(id, 1000))", prose),
     ]
-    out = None
-    for k, (label, value, before) in enumerate(kinds):
-        e = [x.replace("concat('terrazzo', k", f"concat('terrazzo', {k}") for x in (value, before)]
-        part = spark.range(each).selectExpr(f"{e[0]} as value", f"{e[1]} as before", "id").selectExpr("value", "before", f"{close} as after", f"cast({label} as double) as {LABEL}")
-        out = part if out is None else out.unionByName(part)
-    return out.where(F.length("value") >= 12)
+    of = lambda i: "case k " + " ".join(f"when {k} then {kind[i]}" for k, kind in enumerate(kinds)) + " end"
+    ids = spark.range(0, each * len(kinds), 1, 1).selectExpr(f"id % {each} as id", f"id div {each} as k")
+    rows = ids.selectExpr(f"{of(1)} as value", f"{of(2)} as before", f"cast({of(0)} as double) as {LABEL}")
+    return rows.selectExpr("value", "before", f"{close} as after", LABEL).where(F.length("value") >= 12)
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 8):
@@ -188,6 +187,7 @@ def scan(docs: DataFrame, model, threshold: float = 0.5, id_col: str = "doc_id",
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct candidate of every document with its probability; values as digests. Null and empty texts have none."""
     model = train(labelled_findings(spark))
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)
     return found.select("doc_id", F.col("start").cast("long").alias("start"), F.length("value").cast("long").alias("n_chars"), F.col("n_found").cast("long").alias("n_found"), F.sha2("value", 256).alias("value_sha256"), F.round("probability", 6).alias("probability"), "is_secret")

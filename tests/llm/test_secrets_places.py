@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from terrazzo.llm import secrets as s
@@ -30,3 +32,18 @@ def test_every_place_is_scored(found):
     r = found[5, HEX]
     assert (r.n_found, r.start, r.is_secret) == (1, DOCS[4][1].rindex(HEX), True)
     assert not found[6, HEX].is_secret
+
+
+def test_recall_and_precision_on_planted_secrets(spark):
+    """The secrets of the driver's table are of no template here: token = "<40 hex digits>" is the only form it plants."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {(r.doc_id, v) for r in docs.collect() for v in re.findall(r'token = "([0-9a-f]{40})"', r.text or "")}
+    found = s.scan(docs, s.train(s.labelled_findings(spark))).where("is_secret").collect()
+    got = {(r.doc_id, r.value) for r in found}
+    assert planted and len(planted & got) / len(planted) >= 0.9 and len(planted & got) / len(got) >= 0.9
+
+
+def test_key_blocks(spark):
+    text = "see\n-----BEGIN RSA PRIVATE KEY-----\nMIIEow\n-----END RSA PRIVATE KEY-----\n-----BEGIN CERTIFICATE-----"
+    got = s.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), s.train(s.labelled_findings(spark))).where("is_secret").collect()
+    assert [r.value for r in got] == ["-----BEGIN RSA PRIVATE KEY-----"]
