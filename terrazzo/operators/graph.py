@@ -1,12 +1,13 @@
 """Graph operators: connectivity, edge splits, and least-cost routes by frontier relaxation.
 
 Edges are undirected rows (a, b, ...); a route query is a number with start and goal nodes, and many queries run at
-once. Each round relaxes all edges of the frontier in one join and keeps a node's best cost; rounds end when nothing
+once. Small graphs are searched on copies; else each round relaxes all edges of the frontier in one join and keeps a node's best cost; rounds end when nothing
 improves. Tables between rounds are written to the shared folder, so lineage stays short.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from terrazzo.operators.components import connected_components
 from terrazzo.session import staged
 
+#: Graphs of so many edges, some 5 MB, are searched on copies in the workers.
+LOCAL_EDGES = 200_000
+
 
 def node_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes; a node without edges is its own component."""
@@ -100,31 +104,87 @@ def route_edges(edges: DataFrame, alt_factor: float = 3.0, side_door_cost: float
     return e.select("a", "b", w.alias("w")).select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))).alias("e")).select("e.*")
 
 
-def find_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def find_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_rounds: int = 10_000, avoid: DataFrame | None = None) -> DataFrame:
     """For each query its best route (query, goal, cost, path) over directed edges (src, dst, w >= 0).
 
     starts and goals: query, node, offset. A start's offset is paid at its beginning, a goal's at its end.
-    Equal costs go to the lower sequence of nodes. Queries without a route have no row.
+    Equal costs go to the lower sequence of nodes. Queries without a route have no row. Once a query has reached a
+    goal, places that cost more than its best one are not followed. A graph of at most LOCAL_EDGES edges between
+    whole numbers is sent to the workers, which search it query by query; larger ones, and states of other types, are
+    relaxed in joins, with the same result. avoid: edges (query, src, dst) closed to a query.
     """
     adj = staged(edges.groupBy("src", "dst").agg(F.min("w").alias("w")), "route-edges")
+    if adj.schema["src"].dataType.typeName() in ("integer", "long") and adj.count() <= LOCAL_EDGES:
+        return _paths_on_copies(adj, starts, goals, avoid)
     best = starts.groupBy("query", "node").agg(F.min("offset").cast("double").alias("cost")).withColumn("path", F.array("node"))
     best = staged(best, "route-best")
+    shut = None if avoid is None else staged(avoid.select("query", "src", "dst").distinct(), "route-closed")
+    ends = staged(goals.groupBy("query", "node").agg(F.min("offset").alias("off")), "route-ends")
     front = best
     for _ in range(max_rounds):
         step = front.join(adj, front["node"] == adj["src"]).where(~F.array_contains("path", F.col("dst")))
+        step = step if avoid is None else step.join(shut, ["query", "src", "dst"], "left_anti")
         step = step.select("query", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.array_append("path", F.col("dst")).alias("path"))
         step = step.groupBy("query", "node").agg(F.min(F.struct("cost", "path")).alias("n"))
         both = best.select("query", "node", F.struct("cost", "path").alias("o")).join(step, ["query", "node"], "full_outer")
         both = staged(both.select("query", "node", F.least("o", "n").alias("s"), (F.col("o").isNull() | (F.col("n") < F.col("o"))).alias("new")), "route-round")
         best = both.select("query", "node", "s.*")
-        front = both.where("new").select("query", "node", "s.*")
+        bound = best.join(ends, ["query", "node"]).groupBy("query").agg(F.min(F.col("cost") + F.col("off")).alias("bound"))
+        front = both.where("new").select("query", "node", "s.*").join(bound, "query", "left").where("bound is null or cost <= bound").drop("bound")
         if front.isEmpty():
             break
-    end = best.join(goals.groupBy("query", "node").agg(F.min("offset").alias("off")), ["query", "node"])
+    end = best.join(ends, ["query", "node"])
     end = end.groupBy("query").agg(F.min(F.struct((F.col("cost") + F.col("off")).alias("cost"), "path")).alias("r"))
     return end.select("query", F.try_element_at("r.path", F.lit(-1)).alias("goal"), "r.cost", "r.path")
 
 
+def _paths_on_copies(adj: DataFrame, starts: DataFrame, goals: DataFrame, avoid: DataFrame | None) -> DataFrame:
+    """find_paths by a search of least (cost, path) over a copy of the edges in each worker; a query's ends are one row."""
+    spark = adj.sparkSession
+    kind = adj.schema["src"].dataType.simpleString()
+    edges = adj.toPandas()  # LOCAL_EDGES rows at most
+    shared = spark.sparkContext.broadcast(tuple(edges[c].to_numpy() for c in ("src", "dst", "w")))
+    ends = lambda df, name: df.groupBy("query").agg(F.collect_list("node").alias(name), F.collect_list(F.col("offset").cast("double")).alias(f"{name}_offset"))
+    rows = ends(starts, "starts").join(ends(goals, "goals"), "query")
+    shut = adj.limit(0).select(F.lit(0).alias("query"), "src", "dst") if avoid is None else avoid.select("query", "src", "dst")
+    shut = shut.groupBy("query").agg(F.collect_list("src").alias("shut_src"), F.collect_list("dst").alias("shut_dst"))
+    rows = rows.join(shut, "query", "left").select("query", "starts", "starts_offset", "goals", "goals_offset", "shut_src", "shut_dst")
+
+    def run(batches):
+        import heapq
+        from collections import defaultdict
+
+        near = defaultdict(list)
+        for a, b, w in zip(*(x.tolist() for x in shared.value), strict=True):
+            near[a].append((b, w))
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                closed = set() if r.shut_src is None else set(zip(r.shut_src, r.shut_dst, strict=True))
+                goal: dict = {}
+                for node, off in zip(r.goals, r.goals_offset, strict=True):
+                    goal[node] = min(off, goal.get(node, off))
+                heap = [(off, (node,)) for node, off in zip(r.starts, r.starts_offset, strict=True)]
+                heapq.heapify(heap)
+                done, best = set(), None
+                while heap and (best is None or heap[0][0] <= best[0]):
+                    cost, path = heapq.heappop(heap)
+                    node = path[-1]
+                    if node in done:
+                        continue
+                    done.add(node)
+                    if node in goal and (best is None or (cost + goal[node], path) < best):
+                        best = (cost + goal[node], path)
+                    for to, w in near[node] if node in near else ():
+                        if to not in done and (node, to) not in closed:
+                            heapq.heappush(heap, (cost + w, (*path, to)))
+                if best is not None:
+                    out.append((r.query, int(best[1][-1]), best[0], [int(x) for x in best[1]]))
+            yield pd.DataFrame(out, columns=["query", "goal", "cost", "path"])
+
+    return rows.mapInPandas(run, f"query {starts.schema['query'].dataType.simpleString()}, goal {kind}, cost double, path array<{kind}>")
+
+
 def line_graph(edges: DataFrame, nodes: DataFrame, turn_cost: float = 15.0, floor_cost: float = 120.0, junction_cost: float = 8.0, room_cost: float = 15.0, sharp: float = 45.0) -> DataFrame:
     """Edges between states src and dst, a state being a directed edge (u, v) as struct.
 
@@ -180,17 +240,20 @@ def confusion(paths: DataFrame, nodes: DataFrame, sharp: float = 45.0, least: fl
 
 
 def nearest_open(edges: DataFrame, nodes: DataFrame, of: DataFrame, barred: str = "emergency") -> DataFrame:
-    """For each node of `of` the least-distant node that isn't barred, over all edges."""
+    """For each node of `of` the least-distant node that isn't barred, over all edges; ties to the smaller node.
+
+    The way to the nearest open node leads over barred ones alone, so open nodes are not followed: what is walked is
+    the barred part around each query, not the whole graph.
+    """
     starts = of.select(F.col("node").alias("query"), "node", F.lit(0.0).alias("offset"))
     adj = staged(edges.groupBy("src", "dst").agg(F.min("w").alias("w")), "open-edges")
-    free = nodes.where(F.col("access") != barred).select("node")
-    best = find_all(adj, starts)
-    hit = best.join(free, "node", "left_semi")
+    free = staged(nodes.where(F.col("access") != barred).select("node"), "open-nodes")
+    hit = find_all(adj, starts, free).join(free, "node", "left_semi")
     return hit.groupBy("query").agg(F.min(F.struct("cost", "node")).alias("r")).select(F.col("query").alias("node"), F.col("r.node").alias("open"), "r.cost")
 
 
-def find_all(adj: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Least costs (query, node, cost) from each query's start to every node it reaches."""
+def find_all(adj: DataFrame, starts: DataFrame, ends: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+    """Least costs (query, node, cost) from each query's start to every node it reaches; nodes of `ends` are not followed."""
     best = staged(starts.groupBy("query", "node").agg(F.min("offset").cast("double").alias("cost")), "all-best")
     front = best
     for _ in range(max_rounds):
@@ -198,16 +261,38 @@ def find_all(adj: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> Dat
         both = staged(best.join(step, ["query", "node"], "full_outer").select("query", "node", F.least("cost", "n").alias("c"), (F.col("cost").isNull() | (F.col("n") < F.col("cost"))).alias("new")), "all-round")
         best = both.select("query", "node", F.col("c").alias("cost"))
         front = both.where("new").select("query", "node", F.col("c").alias("cost"))
+        front = front if ends is None else front.join(ends, "node", "left_anti")
         if front.isEmpty():
             break
     return best
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, ident: str) -> DataFrame:
-    """For each point (floor, x, y) the nearest node on its floor, ties to the smaller node."""
-    n = nodes.select("node", "floor", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
-    return points.join(n, "floor").groupBy(ident).agg(F.min(F.struct(d.alias("d"), "node")).alias("r")).select(ident, "r.node", F.col("r.d").alias("dist"))
+    """For each point (floor, x, y) the nearest node on its floor, ties to the smaller node.
+
+    A point looks at the nine cells around it; what lies within a cell's width there is the nearest. Points without
+    such a node look again in cells four times as wide, until the cells cover all nodes, so pairs stay few.
+    """
+    n = staged(nodes.select("node", "floor", F.col("x").alias("nx"), F.col("y").alias("ny")), "nearest-nodes")
+    b = n.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("nx", "ny"))).first()
+    left = staged(points.select(ident, "floor", "x", "y"), "nearest-points")
+    if not b.n:
+        return left.limit(0).select(ident, F.lit(None).cast(nodes.schema["node"].dataType).alias("node"), F.lit(0.0).alias("dist"))
+    p = left.agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y"))).first()
+    span = max([b.max_nx, p.max_x or 0, b.max_ny, p.max_y or 0]) - min([b.min_nx, p.min_x or 0, b.min_ny, p.min_y or 0])
+    size, done = max(span / max(1.0, b.n**0.5), 1e-9), None
+    while True:
+        last = size > span
+        own = left.withColumn("__i", F.explode(F.sequence(F.floor(F.col("x") / size) - 1, F.floor(F.col("x") / size) + 1))).withColumn("__j", F.explode(F.sequence(F.floor(F.col("y") / size) - 1, F.floor(F.col("y") / size) + 1)))
+        cells = n.withColumns({"__i": F.floor(F.col("nx") / size), "__j": F.floor(F.col("ny") / size)})
+        d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
+        best = own.join(cells, ["floor", "__i", "__j"]).groupBy(ident).agg(F.min(F.struct(d.alias("d"), "node")).alias("r"))
+        best = staged(best.select(ident, "r.node", F.col("r.d").alias("dist")).where(F.lit(last) | (F.col("dist") <= size)), "nearest-found")
+        done = best if done is None else done.unionByName(best)
+        left = staged(left.join(best, ident, "left_anti"), "nearest-points")
+        if last or left.isEmpty():
+            return done
+        size *= 4
 
 
 def plan_routes(edges: DataFrame, starts: DataFrame, goals: DataFrame, front_goals: DataFrame, **options) -> DataFrame:
