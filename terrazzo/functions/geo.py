@@ -245,9 +245,12 @@ def ring_iou(a: Column, b: Column, samples: int) -> Column:
     return F.aggregate(cells, start, add, lambda s: F.coalesce(F.try_divide(s["both"], s["any"]), F.lit(0.0)))
 
 
-def corridor_shape(a: Column, inradius: Column, narrow: float = 60.0) -> Column:
-    """struct(elong, narrow): area over the squared inradius, and whether the inradius is small."""
-    return F.struct(F.coalesce(F.try_divide(a, inradius * inradius), F.lit(0.0)).alias("elong"), (inradius <= narrow).alias("narrow"))
+def corridor_shape(square_feet: Column, inradius: Column) -> Column:
+    """struct(elong, narrow, long) of a room: its area in square inches over the squared inradius, which is in
+    inches (1 at least); narrow up to 72 inches, long from 14."""
+    r = F.greatest(F.lit(1.0), inradius * inradius)
+    elong = square_feet * 144 / r
+    return F.struct(elong.alias("elong"), (inradius <= 72).alias("narrow"), (elong >= 14).alias("long"))
 
 
 def label_point(ring: Column, n: int = 19) -> Column:

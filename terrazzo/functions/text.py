@@ -11,7 +11,30 @@ from pyspark.sql import functions as F
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes"), ("false", "0", "no")
 ACCESS = ("main", "alt", "emergency")
 NAME_STOP_WORDS = ("the", "building", "hall", "center", "of", "and", "school")
-COMPASS = ("north", "north-east", "east", "south-east", "south", "south-west", "west", "north-west")
+COMPASS = ("North", "Northeast", "East", "Southeast", "South", "Southwest", "West", "Northwest")
+# The kinds of ways and areas that rules P05, P06, P10, P11, P15 and P16 tell apart.
+PATH_KINDS = {"footway": "footway", "path": "path", "pedestrian": "pedestrian", "steps": "steps", "cycleway": "path", "bridleway": "path", "corridor": "footway"}
+WALKABLE_ROADS = ("primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified", "residential", "service", "living_street", "track", "road")
+ROAD_KINDS = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "service", "living_street", "track", "road", "primary_link", "secondary_link", "tertiary_link", "trunk_link")
+GREEN = {
+    "landuse": ("grass", "meadow", "recreation_ground", "village_green", "forest", "cemetery", "orchard"),
+    "leisure": ("park", "pitch", "garden", "track", "stadium", "golf_course", "playground", "sports_centre", "recreation_ground"),
+    "natural": ("wood", "scrub", "grassland", "heath", "wetland"),
+}
+LINE_PATHS = ("footway", "path", "pedestrian", "steps", "crossing", "sidewalk", "cycleway", "track", "bridleway")
+WATERS = ("water", "pond", "basin", "reservoir", "river", "stream", "canal", "lake")
+PARKINGS = ("parking", "parking_space", "parking-lot", "parking_lot")
+LAYER_HINTS = {
+    "paths": ("paths", "path", "footways", "footway"),
+    "roads": ("roads", "road", "service"),
+    "parking": ("parking",),
+    "landuse": ("landuse", "green", "greens", "grass", "park"),
+    "water": ("water",),
+    "labels": ("labels", "label"),
+}
+METERS_A_LEVEL = 3.5
+RESIDENCE_TAG, RESIDENCE_NAME, ACADEMIC_TAG = "^(dormitory|residential|apartments)$", r"\bCollege$|College Courts|Suites|Apartments|Heritage Hall", "^(university|school|college)$"
+EVENTS = ("search", "route_start", "route_from", "route_reroute", "floor_change", "qr_scan", "sched_open")
 
 
 def text(c: Column) -> Column:
@@ -113,8 +136,8 @@ def is_circulation_number(c: Column) -> Column:
 
 
 def plan_asset_name(floor_id: Column) -> Column:
-    """the asset that holds a floor's plan."""
-    return F.concat(F.lit("FP_"), F.upper(F.replace(floor_id, F.lit("-"), F.lit("_"))))
+    """the asset that holds a floor's plan: the id with hyphens as underscores."""
+    return F.concat(F.lit("FP_"), F.replace(floor_id, F.lit("-"), F.lit("_")))
 
 
 def query_params(query: Column, raw: tuple[str, ...] = ("qr",)) -> Column:
@@ -147,20 +170,28 @@ def decode_payload(payload: Column) -> Column:
 
 
 def format_time(hhmm: Column) -> Column:
-    """HH:MM on a 12-hour clock."""
-    h, m = F.split_part(hhmm, F.lit(":"), F.lit(1)).try_cast("int"), F.split_part(hhmm, F.lit(":"), F.lit(2))
+    """HH:MM on a 12-hour clock; any other text as it is, null as empty."""
+    h, m = F.regexp_extract(text(hhmm), r"^(\d{1,2}):(\d{2})$", 1).try_cast("int"), F.regexp_extract(text(hhmm), r"^(\d{1,2}):(\d{2})$", 2)
     hour = F.when(h % 12 == 0, 12).otherwise(h % 12)
-    return F.concat(hour.cast("string"), F.lit(":"), m, F.when(h >= 12, " PM").otherwise(" AM"))
+    return F.when(h.isNull(), text(hhmm)).otherwise(F.concat(hour.cast("string"), F.lit(":"), m, F.when(h >= 12, " PM").otherwise(" AM")))
 
 
 def format_date(d: Column) -> Column:
-    """a date in words."""
-    return F.date_format(d, "EEEE, MMMM d, yyyy")
+    """a date, or its text YYYY-MM-DD, in words; any other text as it is, null as empty."""
+    words = F.date_format(F.try_to_timestamp(F.left(d.cast("string"), F.lit(10)), F.lit("yyyy-MM-dd")), "EEEE, MMMM d, yyyy")
+    return F.coalesce(words, text(d))
 
 
 def safe_link(url: Column) -> Column:
-    """the link if it is http(s), else empty."""
-    return F.when(F.trim(text(url)).rlike("(?i)^https?://"), F.trim(url)).otherwise("")
+    """the link if it is http(s) without white space, quotes and angle brackets, else empty."""
+    return F.when(text(url).rlike(r"""^https?://[^\s"'<>]+$"""), url).otherwise("")
+
+
+def drive_direct_url(url: Column) -> Column:
+    """the direct view address of a shared file, by /d/<id> or else the id parameter; other text as it is."""
+    by_path, by_name = F.regexp_extract(text(url), r"/d/([a-zA-Z0-9_-]+)", 1), F.regexp_extract(text(url), r"[?&]id=([a-zA-Z0-9_-]+)", 1)
+    ident = F.when(by_path != "", by_path).otherwise(by_name)
+    return F.when(ident != "", F.concat(F.lit("https://drive.google.com/uc?export=view&id="), ident)).otherwise(text(url))
 
 
 def escape_html(c: Column) -> Column:
@@ -180,15 +211,19 @@ def version_of(*candidates: Column) -> Column:
     return F.coalesce(*(F.when(c.rlike("^[A-Za-z0-9_-]{1,80}$"), c) for c in candidates))
 
 
-def event_label(name: Column, label: Column, allowed: tuple[str, ...]) -> Column:
-    """name and cleaned label (at most 60 signs) of a listed event, else null."""
-    clean = F.left(F.trim(F.regexp_replace(text(label), r"[^\w .-]+", "")), F.lit(60))
-    return F.when(name.isin(*allowed), F.concat_ws("/", name, F.when(clean != "", clean)))
+def event_label(name: Column, label: Column, allowed: tuple[str, ...] = EVENTS) -> Column:
+    """struct(path, title) of a listed event, else null; the title is the label, or the name without one, in at
+    most 60 word signs, spaces, full stops, colons and hyphens."""
+    title = F.left(F.regexp_replace(F.when(text(label) == "", name).otherwise(text(label)), "[^A-Za-z0-9_ .:-]", ""), F.lit(60))
+    return F.when(name.isin(*allowed), F.struct(name.alias("path"), title.alias("title")))
 
 
-def endpoint_for(site: Column) -> Column:
-    """a code becomes its collector address, an https address stays, all else is null."""
-    return F.when(site.rlike("^https://"), site).when(site.rlike("^[a-z0-9-]+$"), F.concat(F.lit("https://"), site, F.lit(".example.org/count")))
+def endpoint_for(site: Column, host: str = "goatcounter.com") -> Column:
+    """a code of up to 63 letters, digits and hyphens becomes its counter's address on `host`, an https address
+    stays, all else is empty."""
+    t = F.regexp_replace(text(site), r"^\s+|\s+$", "")
+    code = F.concat(F.lit("https://"), F.lower(t), F.lit(f".{host}/count"))
+    return F.when(t.rlike(r"""^https://[^\s"'<>]+$"""), t).when(t.rlike("^[A-Za-z0-9][A-Za-z0-9-]{0,62}$"), code).otherwise("")
 
 
 def compass_side(degrees: Column) -> Column:
@@ -198,8 +233,8 @@ def compass_side(degrees: Column) -> Column:
 
 
 def entrance_label(side: Column, n: Column, level: Column) -> Column:
-    """side, ordinal when above one, level when not the ground level."""
-    return F.concat(F.initcap(side), F.lit(" entrance"), F.when(n > 1, F.concat(F.lit(" "), n.cast("string"))).otherwise(""), F.when(level != 1, F.concat(F.lit(" (level "), level.cast("string"), F.lit(")"))).otherwise(""))
+    """side, ordinal when above one, level when above one."""
+    return F.concat(side, F.lit(" entrance"), F.when(n > 1, F.concat(F.lit(" "), n.cast("string"))).otherwise(""), F.when(level > 1, F.concat(F.lit(", level "), level.cast("string"))).otherwise(""))
 
 
 def feature_id(ident: Column, order: Column) -> Column:
@@ -207,10 +242,14 @@ def feature_id(ident: Column, order: Column) -> Column:
     return F.coalesce(ident.cast("string"), F.concat(F.lit("override/"), order.cast("string")))
 
 
-def room_title(number: Column, label: Column, code: Column) -> Column:
-    """code, number and use text, as far as present."""
-    parts = [blank_to_null(code), blank_to_null(display_number(number)), blank_to_null(use_text(label, number))]
-    return F.concat_ws(" ", *parts)
+def room_title(number: Column, ident: Column, code: Column) -> Column:
+    """the building's code, if any, and the number as shown, or the id without one."""
+    return F.concat(F.when(text(code) != "", F.concat(code, F.lit(" "))).otherwise(""), F.coalesce(F.nullif(display_number(number), F.lit("")), text(ident)))
+
+
+def door_name(own: Column, label: Column, meters: Column, side: Column) -> Column:
+    """what a door is called: its building's label for it, its own, the side if it lies over 4 m from the center, else entrance."""
+    return F.coalesce(F.nullif(text(own), F.lit("")), F.nullif(text(label), F.lit("")), F.when(meters > 4, F.concat(side, F.lit(" entrance"))), F.lit("entrance"))
 
 
 def expired(permanent: Column, expires: Column, now: Column) -> Column:
@@ -220,7 +259,7 @@ def expired(permanent: Column, expires: Column, now: Column) -> Column:
 
 def access_class(c: Column) -> Column:
     """A known class in any case, else main."""
-    t = F.lower(F.trim(text(c)))
+    t = F.lower(text(c))
     return F.when(t.isin(*ACCESS), t).otherwise(ACCESS[0])
 
 
@@ -238,25 +277,34 @@ def is_public(flag: Column) -> Column:
     return F.coalesce(F.lower(F.trim(flag.cast("string"))) != "false", F.lit(True))
 
 
-def is_searchable(kind: Column, flag: Column) -> Column:
-    """Flagged and no circulation type."""
-    return truthy(flag) & ~F.coalesce(kind.isin("corridor", "shaft", "void"), F.lit(False))
+def is_searchable(kind: Column, room_type: Column) -> Column:
+    """No chase, and no corridor or mechanical room."""
+    return ~F.coalesce(kind == "chase", F.lit(False)) & ~F.coalesce(room_type.isin("corridor", "mechanical"), F.lit(False))
+
+
+def _tag(tags: Column, name: str) -> Column:
+    return F.try_element_at(tags, F.lit(name))
+
+
+def _is(c: Column, *values: str) -> Column:
+    return F.coalesce(c.isin(*values), F.lit(False))
 
 
 def walk_kind(tags: Column) -> Column:
-    """How a tagged way is walked, or null: explicit foot rules win over access, drive-through lanes are out."""
-    t = lambda k: F.try_element_at(tags, F.lit(k))
-    barred = t("foot").isin("no", "private") | (t("access").isin("no", "private") & t("foot").isNull())
-    return (
-        F.when(F.coalesce(barred, F.lit(False)) | F.coalesce(t("service") == "drive-through", F.lit(False)), F.lit(None))
-        .when(t("highway").isin("footway", "path", "pedestrian", "steps", "cycleway"), path_kind(t("highway")))
-        .when(t("highway").isin("service", "residential", "tertiary", "unclassified", "living_street"), "road")
-    )
+    """How a tagged way is walked, or null. Areas are out; foot=no and closed access without a foot right bar
+    roads but not footways; drive-through lanes are no roads to walk on."""
+    foot, highway = _tag(tags, "foot"), _tag(tags, "highway")
+    barred = _is(foot, "no") | (_is(_tag(tags, "access"), "no", "private") & ~_is(foot, "yes", "designated", "permissive"))
+    road = ~barred & _is(highway, *WALKABLE_ROADS) & ~_is(_tag(tags, "service"), "drive-through")
+    return F.when(_is(_tag(tags, "area"), "yes"), F.lit(None)).otherwise(F.coalesce(path_kind(tags), F.when(road, "road")))
 
 
-def path_kind(highway: Column) -> Column:
-    """Steps and cycleways by name, footways, paths and plazas as path, all else as road."""
-    return F.when(highway.isin("steps", "cycleway"), highway).when(highway.isin("footway", "path", "pedestrian"), "path").otherwise("road")
+def path_kind(tags: Column) -> Column:
+    """The kind of a path, or null if the tags are of none: crossings by their own name, others by PATH_KINDS."""
+    highway = _tag(tags, "highway")
+    kinds = F.create_map(*(F.lit(x) for kv in PATH_KINDS.items() for x in kv))
+    crossing = _is(highway, "footway", "path", "cycleway") & _is(_tag(tags, "footway"), "crossing")
+    return F.when(crossing, "crossing").otherwise(F.try_element_at(kinds, F.coalesce(highway, F.lit(""))))
 
 
 def path_access(kind: Column) -> Column:
@@ -265,36 +313,83 @@ def path_access(kind: Column) -> Column:
 
 
 def auto_entrance_access(chosen: Column, room_type: Column) -> Column:
-    """P08."""
-    return F.when(chosen, ACCESS[0]).when(room_type.isin("stair", "mechanical"), ACCESS[2]).otherwise(ACCESS[1])
+    """The chosen door is main, a stair's emergency, any other alt."""
+    return F.when(chosen, ACCESS[0]).when(room_type == "stair", ACCESS[2]).otherwise(ACCESS[1])
+
+
+def first_layer(tags: Column, closed: Column, positions: Column) -> Column:
+    """P10: struct(layer, kind, shape) of a way, by the first rule that its tags, its being closed and its number of
+    positions meet; null if none does."""
+    t = lambda k: _tag(tags, k)
+    set_ = lambda k: F.coalesce(t(k) != "", F.lit(False))
+    of = lambda layer, kind, shape: F.struct(F.lit(layer).alias("layer"), kind.alias("kind"), F.lit(shape).alias("shape"))
+    path, line = path_kind(tags), ~_is(t("area"), "yes")
+    out = (
+        F.when(positions < 2, F.lit(None))
+        .when(path.isNotNull() & line, of("paths", path, "LineString"))
+        .when(_is(t("highway"), *ROAD_KINDS) & line, of("roads", t("highway"), "LineString"))
+        .when(_is(t("highway"), "pedestrian") & closed, of("landuse", F.lit("plaza"), "Polygon"))
+        .when(~closed, F.when(set_("waterway"), of("water", t("waterway"), "LineString")))
+        .when(set_("building"), F.lit(None))
+        .when(_is(t("amenity"), "parking"), of("parking", F.lit("parking"), "Polygon"))
+        .when(_is(t("natural"), "water") | _is(t("landuse"), "reservoir", "basin"), of("water", F.lit("water"), "Polygon"))
+    )
+    for key, kinds in GREEN.items():
+        out = out.when(_is(t(key), *kinds), of("landuse", t(key), "Polygon"))
+    return out
 
 
-def first_layer(tags: Column) -> Column:
-    """The first layer that a way's tags match."""
-    has = lambda k: F.map_contains_key(tags, k)
-    return F.when(has("building"), "footprints").when(has("highway"), "roads").when(F.try_element_at(tags, F.lit("amenity")) == "parking", "parking").when(has("natural") | has("waterway"), "water").when(has("landuse") | has("leisure"), "landuse")
+def base_layer(layer: Column, hint: Column, shape: Column, kind: Column, steps: Column) -> Column:
+    """The layer of a drawn feature: by its own layer, its file's hint, else its shape and kind."""
+    known = F.create_map(*(F.lit(x) for name, hints in LAYER_HINTS.items() for h in hints for x in (h, name)))
+    k = F.lower(text(kind))
+    by_line = F.when(k.isin(*LINE_PATHS) | F.coalesce(steps, F.lit(False)), "paths").when(k.isin(*WATERS), "water").otherwise("roads")
+    by_shape = F.when(_is(shape, "Point", "MultiPoint"), "labels").when(text(shape).contains("LineString"), by_line).when(k.isin(*PARKINGS), "parking").when(k.isin(*WATERS), "water").otherwise("landuse")
+    return F.coalesce(F.try_element_at(known, F.lower(text(layer))), F.try_element_at(known, F.lower(text(hint))), by_shape)
 
 
 def clean_map(m: Column) -> Column:
-    """A map without null and blank values."""
-    return F.map_filter(m, lambda _, v: F.coalesce(F.trim(v) != "", F.lit(False)))
+    """A map without null and empty values."""
+    return F.map_filter(m, lambda _, v: F.coalesce(v != "", F.lit(False)))
 
 
 def trim_tags(m: Column, keep: str) -> Column:
-    """The map's entries whose key matches the pattern, in key order."""
-    return F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(m, lambda k, _: k.rlike(keep)))))
-
-
-def default_levels(tags: Column, name: Column) -> Column:
-    """Tagged levels, else two for a house, four for a hall or tower, one."""
-    return F.coalesce(F.try_element_at(tags, F.lit("levels")).try_cast("int"), F.when(name.rlike("(?i)tower|hall"), 4).when(name.rlike("(?i)house"), 2).otherwise(1))
-
-
-def building_height(override: Column, tagged: Column, levels: Column, level_height: float = 3.5) -> Column:
-    """struct(height, source): override, tag, tagged levels or the default, the first that is there."""
-    by_levels = levels * level_height
-    source = F.when(override.isNotNull(), "override").when(tagged.isNotNull() | by_levels.isNotNull(), "osm").otherwise("default")
-    return F.struct(F.coalesce(override, tagged, by_levels, F.lit(level_height)).alias("height"), source.alias("source"))
+    """The map's entries whose key matches the pattern, in key order; null if none does."""
+    kept = F.array_sort(F.map_entries(F.map_filter(m, lambda k, _: k.rlike(keep))))
+    return F.when(F.size(kept) > 0, F.map_from_entries(kept))
+
+
+def default_levels(building: Column, name: Column) -> Column:
+    """struct(levels, type) by the building tag and the seeded name: residence 4, academic 3, other 2."""
+    b, n = text(building), text(name)
+    of = lambda levels, kind: F.struct(F.lit(levels).cast("double").alias("levels"), F.lit(kind).alias("type"))
+    return F.when(b.rlike(RESIDENCE_TAG) | n.rlike(RESIDENCE_NAME), of(4, "residence")).when(b.rlike(ACADEMIC_TAG) | (n != ""), of(3, "academic")).otherwise(of(2, "other"))
+
+
+def positive_number(c: Column) -> Column:
+    """The number that a text begins with, a comma as its point; null unless above 0."""
+    lead = F.regexp_extract(F.regexp_replace(text(c), "^([^,]*),", "$1."), r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1)
+    v = lead.try_cast("double")
+    return F.when((v > 0) & (v < float("inf")), v)
+
+
+def building_height(tags: Column, height: Column, levels: Column, name: Column) -> Column:
+    """struct(height, levels, source): the override's height, its levels, the tagged height, tagged levels, a
+    roof's 4 m, else the default by type, the first that is there. Heights are rounded to tenths."""
+    per = F.lit(METERS_A_LEVEL)
+    oh, ol, th, tl = positive_number(height), positive_number(levels), positive_number(_tag(tags, "height")), positive_number(_tag(tags, "building:levels"))
+    tenth = lambda v: F.floor(v * 10 + 0.5) / 10
+    floors = lambda v: F.greatest(F.lit(1.0), F.floor(v / per + 0.5).cast("double"))
+    of = lambda h, n, source: F.struct(tenth(h).alias("height"), n.cast("double").alias("levels"), F.lit(source).alias("source"))
+    d = default_levels(_tag(tags, "building"), name)["levels"]
+    return (
+        F.when(oh.isNotNull(), of(oh, F.coalesce(ol, tl, floors(oh)), "override"))
+        .when(ol.isNotNull(), of(ol * per, ol, "override"))
+        .when(th.isNotNull(), of(th, F.coalesce(tl, floors(th)), "osm"))
+        .when(tl.isNotNull(), of(tl * per, tl, "osm"))
+        .when(_is(_tag(tags, "building"), "roof"), of(F.lit(4.0), F.lit(1.0), "default"))
+        .otherwise(of(d * per, d, "default"))
+    )
 
 
 def routing_number(value: Column, default: float, least: float | None = None, repair: float | None = None) -> Column:
@@ -305,6 +400,7 @@ def routing_number(value: Column, default: float, least: float | None = None, re
     return F.when(v >= least, v).when(v < least, F.lit(default if repair is None else repair)).otherwise(F.lit(default))
 
 
-def directions_url(lat: Column, lng: Column) -> Column:
-    """A link with an encoded destination."""
-    return F.concat(F.lit("https://maps.example.org/dir?to="), F.url_encode(F.concat_ws(",", lat.cast("string"), lng.cast("string"))))
+def directions_url(lat: Column, lng: Column, apple: bool = False) -> Column:
+    """A link to an outside map with an encoded destination."""
+    base = "https://maps.apple.com/?daddr=" if apple else "https://www.google.com/maps/dir/?api=1&destination="
+    return F.concat(F.lit(base), F.url_encode(F.concat_ws(",", lat.cast("string"), lng.cast("string"))))

@@ -5,34 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrazzo.functions.geo import corridor_shape
 from terrazzo.functions.text import is_circulation_number
 from terrazzo.operators.aggregate import passage_evidence
 from terrazzo.session import staged
 
 
-def circulation_rule(evidence_halls: Column) -> Column:
-    """X01's rule over number, area, inradius, neighbors, hallways, doors; null if none applies."""
-    n, h = F.col("neighbors"), evidence_halls
+def _whole(c: Column) -> Column:
+    """A number rounded half up, as text."""
+    return F.floor(c + 0.5).cast("string")
+
+
+def _said(*parts) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def circulation_rule() -> Column:
+    """X01's rule over number, area (square feet), inradius (inches), neighbors, hallways, door and exterior: why an
+    other room is a hallway, null if no rule applies."""
+    n, h, r = F.col("neighbors"), F.col("hallways"), F.col("inradius")
     return (
-        F.when(is_circulation_number(F.col("number")) & (F.col("area") >= 80) & (n >= 3) & (h >= 1), "circulation number")
-        .when((F.col("door") == 0) & (h >= 2) & (F.col("area") >= 40), "open link")
-        .when((n >= 7) & (F.col("inradius") <= 96) & (h >= 1), "serves many")
-        .when((F.col("inradius") <= 60) & (F.col("area") / (F.col("inradius") * F.col("inradius")) >= 8) & (h >= 2) & (n >= 3), "narrow passage")
+        F.when(is_circulation_number(F.col("number")) & (F.col("area") >= 80) & (n >= 3) & (h >= 1), _said("circulation number ", F.col("number"), " with passages to ", n, " spaces, ", h, " of them hallways"))
+        .when((F.col("door") == 0) & (F.col("exterior") == 0) & (h >= 2) & (F.col("area") >= 40), _said("open link between ", h, " hallways (area lines or openings, no door)"))
+        .when((n >= 7) & (r <= 96) & (h >= 1), _said("hall serving ", n, " spaces, ", _whole(2 * r / 12), " ft wide at most"))
+        .when((r <= 60) & (corridor_shape(F.col("area"), r)["elong"] >= 8) & (h >= 2) & (n >= 3), _said("narrow passage (inradius ", _whole(r), " in) joining ", h, " hallways and ", n - h, " other spaces"))
     )
 
 
+def room_evidence(openings: DataFrame, halls: DataFrame) -> DataFrame:
+    """What each room's openings (a, b, via: door, inferred or open; a null end is outside) connect: room, neighbors,
+    hallways, door, open, exterior."""
+    inner = openings.where("a is not null and b is not null").withColumn("via", F.when(F.col("via") == "inferred", "door").otherwise(F.col("via")))
+    ev = passage_evidence(inner, halls, "a", "b", "via", ["door", "open"])
+    out = openings.where("(a is null) <> (b is null)").select(F.coalesce("a", "b").alias("node"), (F.col("via") != "open").cast("long").alias("d"))
+    out = out.groupBy("node").agg(F.count("*").alias("exterior"), F.sum("d").alias("d"))
+    both = ev.join(out, "node", "full_outer").fillna(0, ["neighbors", "hallways", "door", "open", "exterior", "d"])
+    return both.select(F.col("node").alias("room"), "neighbors", "hallways", (F.col("door") + F.col("d")).alias("door"), (F.col("open") + F.col("exterior") - F.col("d")).alias("open"), "exterior")
+
+
 def refine(rooms: DataFrame, openings: DataFrame, passes: int = 3) -> DataFrame:
     """Rooms (room, kind, number, area, inradius) with kind and why after at most `passes` rounds.
 
-    Each round weighs every room of kind other by its openings (a, b, via: door or open) to the corridors known
-    before the round; rounds end early when none changes.
+    Each round weighs every room of kind other by its openings, as of room_evidence, to the corridors known before
+    the round; rounds end early when none changes.
     """
     cur = staged(rooms.withColumn("why", F.lit(None).cast("string")), "refine")
     for _ in range(passes):
         halls = cur.where("kind = 'corridor'").select(F.col("room").alias("node"))
-        ev = passage_evidence(openings, halls, "a", "b", "via", ["door", "open"]).withColumnRenamed("node", "room")
-        met = cur.join(ev, "room", "left").fillna(0, ["neighbors", "hallways", "door", "open"])
-        found = F.when(F.col("kind") == "other", circulation_rule(F.col("hallways")))
+        met = cur.join(room_evidence(openings, halls), "room", "left").fillna(0, ["neighbors", "hallways", "door", "open", "exterior"])
+        found = F.when(F.col("kind") == "other", circulation_rule())
         new = staged(met.withColumn("__f", found).select("room", F.when(F.col("__f").isNotNull(), "corridor").otherwise(F.col("kind")).alias("kind"), "number", "area", "inradius", F.coalesce("why", "__f").alias("why"), F.col("__f").isNotNull().alias("__new")), "refine")
         cur = new.drop("__new")
         if new.where("__new").isEmpty():
@@ -43,19 +64,21 @@ def refine(rooms: DataFrame, openings: DataFrame, passes: int = 3) -> DataFrame:
 def candidates(rooms: DataFrame, evidence: DataFrame, least: float = 0.35) -> DataFrame:
     """(room, confidence, evidence) of rooms of kind other, from weighted evidence, at most 1; best first.
 
-    rooms: room, kind, number, area, inradius, convexity, degree; evidence as of passage_evidence with `room`.
+    rooms: room, kind, number, area, inradius, convexity, degree (passages that meet at its center); evidence as
+    of room_evidence.
     """
-    e = rooms.where("kind = 'other'").join(evidence, "room", "left").fillna(0, ["neighbors", "hallways", "door", "open"])
-    n = F.col("neighbors")
-    elong = F.coalesce(F.try_divide(F.col("area"), F.col("inradius") * F.col("inradius")), F.lit(0.0))
+    e = rooms.where("kind = 'other'").join(evidence, "room", "left").fillna(0, ["neighbors", "hallways", "door", "open", "exterior"])
+    n, h, r, d = F.col("neighbors"), F.col("hallways"), F.col("inradius"), F.col("degree")
+    shape = corridor_shape(F.col("area"), r)
     rules = [
-        (F.when(is_circulation_number(F.col("number")), 0.3), "circulation number"),
-        (F.when(n >= 4, F.least(F.lit(0.35), 0.2 + 0.03 * (n - 4))), "many passages"),
-        (F.when((F.col("inradius") <= 60) & (elong >= 8), 0.2), "narrow and long"),
-        (F.when(F.col("convexity") < 0.75, 0.1), "bent"),
-        (F.when((F.col("open") > 0) & (F.col("hallways") > 0), 0.15), "open to a hallway"),
-        (F.when(F.col("degree") >= 3, 0.15), "routes meet"),
-        (F.when(F.col("number").startswith("UNK-"), 0.1), "no number"),
+        (F.when(is_circulation_number(F.col("number")), 0.3), _said("circulation-style number ", F.col("number"))),
+        (F.when((F.col("exterior") > 0) & (F.col("area") <= 300) & n.between(1, 2), 0.35), _said("vestibule: an exterior door and ", n, F.when(n == 1, " inner passage, ").otherwise(" inner passages, "), _whole(F.col("area")), " sf")),
+        (F.when(n >= 4, F.least(F.lit(0.35), 0.2 + 0.03 * (n - 4))), _said("passages to ", n, " spaces")),
+        (F.when(shape["narrow"] & (shape["elong"] >= 8), 0.2), _said("narrow and long (inradius ", _whole(r), " in, area/inradius^2 ", _whole(shape["elong"]), ")")),
+        (F.when(F.col("convexity") < 0.75, 0.1), _said("L or T shaped (convexity ", F.format_string("%.2f", F.col("convexity")), ")")),
+        (F.when((F.col("open") > 0) & (h > 0), 0.15), _said("open to ", h, F.when(h == 1, " hallway").otherwise(" hallways"), " (area line or opening, no door)")),
+        (F.when(d >= 3, 0.15), _said("routes pass through it (", d, " passages meet at its center)")),
+        (F.when(F.col("number").startswith("UNK-"), 0.1), F.lit("no room number in the drawing")),
     ]
     total = sum((F.coalesce(w, F.lit(0.0)) for w, _ in rules[1:]), F.coalesce(rules[0][0], F.lit(0.0)))
     said = F.array_compact(F.array(*(F.when(w.isNotNull(), t) for w, t in rules)))
@@ -63,17 +86,21 @@ def candidates(rooms: DataFrame, evidence: DataFrame, least: float = 0.35) -> Da
     return out.where(F.col("confidence") >= least).orderBy(F.col("confidence").desc(), "room")
 
 
-def room_type(area: Column, stacked: Column, treads: Column, number: Column, label: Column) -> Column:
-    """The type of a space and its evidence, as struct(type, why), by the first rule that applies."""
-    t = lambda k, w: F.struct(F.lit(k).alias("type"), F.lit(w).alias("why"))
+def room_type(kind: Column, area: Column, inradius: Column, number: Column, toilets: Column, openings: Column, stacked: Column, why: Column) -> Column:
+    """struct(type, why) of a space by the first rule that applies: the stack of stairs or elevators that it is in
+    (`stacked`, with its reason), a chase, fixtures, a corridor's shape or number, a closet's size, else other."""
+    t = lambda k, w: F.struct(F.lit(k).alias("type"), (w if isinstance(w, Column) else F.lit(w)).alias("why"))
+    shape = corridor_shape(area, inradius)
+    slim = shape["narrow"] & shape["long"]
+    numbered = is_circulation_number(number) & (inradius <= 96) & (shape["elong"] >= 8) & (F.coalesce(openings, F.lit(0)) >= 3)
     return (
-        F.when(label.rlike("(?i)elev"), t("elevator", "label"))
-        .when(treads >= 5, t("stair", "treads"))
-        .when((stacked >= 2) & (area <= 80), t("elevator", "small and stacked"))
-        .when((stacked >= 2) & label.rlike("(?i)stair"), t("stair", "label and stacked"))
-        .when(label.rlike("(?i)mech|elec|janitor"), t("mechanical", "label"))
-        .when(is_circulation_number(number) & (area >= 400), t("corridor", "number and area"))
-        .otherwise(t("other", "none"))
+        F.when(stacked.isNotNull(), F.struct(stacked.alias("type"), why.alias("why")))
+        .when(kind == "chase", t("mechanical", "AREA-CHAS chase polygon"))
+        .when(toilets >= 1, t("restroom", _said(toilets, " toilet/urinal fixture block(s)")))
+        .when((area >= 80) & slim, t("corridor", _said("narrow and long (inradius ", _whole(inradius), " in, area/inradius^2 ", _whole(shape["elong"]), ")")))
+        .when((area >= 80) & numbered, t("corridor", _said("circulation number ", number, " with elongated shape and ", openings, " openings")))
+        .when(area < 30, t("storage", _said("under 30 sf (", _whole(area), " sf): closet")))
+        .otherwise(t("other", "no use text in the DWG and no geometric evidence"))
     )
 
 

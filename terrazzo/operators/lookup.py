@@ -59,7 +59,7 @@ def entrances(nodes: DataFrame, edges: DataFrame, floors: DataFrame, georef: Dat
 
     nodes: node, type, floor, x, y, access; edges: ord, a, b; floors: floor, building, level; georef: building, t
     (see geo.plan_to_lng_lat) and off; facing: node, bearing. The side is the given bearing, else that from the
-    first inner neighbour on the same floor, else 'building'; labels count by side and level in order of access.
+    first inner neighbour on the same floor, else 'Building'; labels count by side and level in order of access.
     """
     at = nodes.select("node", "floor", "x", "y")
     both = symmetric(edges.select("ord", "a", "b"), "a", "b").join(at, "node")
@@ -69,7 +69,7 @@ def entrances(nodes: DataFrame, edges: DataFrame, floors: DataFrame, georef: Dat
     e = e.join(inner, "node", "left").join(facing, "node", "left")
     place = G.plan_to_lng_lat(G.point(F.col("x"), F.col("y")), F.col("t"), F.col("off"))
     out = F.coalesce("bearing", F.when(F.col("i").isNotNull(), G.plan_bearing(F.col("x") - F.col("i.ix"), F.col("y") - F.col("i.iy"), F.col("t"))))
-    e = e.withColumns({"side": F.coalesce(T.compass_side(out), F.lit("building")), "lat": G.half_up(place["y"], 6), "lng": G.half_up(place["x"], 6)})
+    e = e.withColumns({"side": F.coalesce(T.compass_side(out), F.lit("Building")), "lat": G.half_up(place["y"], 6), "lng": G.half_up(place["x"], 6)})
     n = F.row_number().over(W.partitionBy("building", "side", "level").orderBy(T.access_rank(F.col("access")), "node"))
     return e.select("node", "building", "lat", "lng", "access", T.entrance_label(F.col("side"), n, F.col("level")).alias("label"))
 

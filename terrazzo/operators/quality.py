@@ -137,9 +137,13 @@ def leaks(texts: DataFrame, key: str, column: str, patterns: DataFrame) -> DataF
     return texts.join(broadcast_if(patterns, patterns.count(), MAX_PATTERNS), F.expr(f"{column} rlike pattern")).select(key, "pattern")
 
 
+#: Root-relative addresses: in src, href and action, in calls of fetch and open, and as quoted data paths.
+ROOT_RELATIVE = r"""\b(?:src|href|action)\s*=\s*["']/(?:[^/"'][^"']*)?["']|\b(?:fetch|open)\(\s*["']/(?:[^/"'][^"']*)?["']|["']/(?:data|floors|config\.json)\b[^"']*["']"""
+
+
 def root_relative(html: Column) -> Column:
-    """The root-relative links of a page."""
-    return F.regexp_extract_all(html, F.lit(r"(?:href|src)=\"(/[^/\"][^\"]*)\""), F.lit(1))
+    """The places of a page that name a root-relative address."""
+    return F.regexp_extract_all(html, F.lit(ROOT_RELATIVE), F.lit(0))
 
 
 def require(problems: DataFrame) -> DataFrame:

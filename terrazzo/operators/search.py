@@ -28,7 +28,8 @@ def build_index(rooms: DataFrame, buildings: DataFrame) -> DataFrame:
     b = buildings.select(F.col("id").alias("building_id"), F.lower(T.text(F.col("code"))).alias("code"), T.name_tokens(F.col("name"), ()).alias("bwords"), F.col("name").alias("bname"))
     words = F.array_distinct(F.concat(T.tokens(F.col("label")), T.tokens(F.col("type"))))
     num = F.lower(T.display_number(F.col("number")))
-    title = T.room_title(F.col("number"), F.col("label"), F.upper(F.col("code")))
+    parts = (F.upper(F.col("code")), T.display_number(F.col("number")), T.use_text(F.col("label"), F.col("number")))
+    title = F.concat_ws(" ", *map(T.blank_to_null, parts))
     r = rooms.join(b, "building_id", "left")
     out = r.select("id", F.lit("room").alias("kind"), title.alias("title"), F.col("bname").alias("subtitle"), F.coalesce("code", F.lit("")).alias("code"), num.alias("num"), words.alias("words"), F.coalesce("bwords", F.array().cast("array<string>")).alias("bwords"))
     own = b.select(F.col("building_id").alias("id"), F.lit("building").alias("kind"), F.col("bname").alias("title"), F.lit(None).cast("string").alias("subtitle"), "code", F.lit("").alias("num"), F.col("bwords").alias("words"), F.array().cast("array<string>").alias("bwords"))

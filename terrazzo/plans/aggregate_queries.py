@@ -112,7 +112,7 @@ def w06_ring(spark, sf):
 
 
 def w07_chain(spark, sf):
-    e = table(spark, sf, "events").select("user_id", F.floor(F.col("value")).cast("double").alias("v")).where("user_id < 40")
+    e = table(spark, sf, "events").select("user_id", F.floor(F.col("value")).cast("double").alias("v"))
     return O.longest_chain(e, ["user_id"], "v", 2.0, 5.0).select("user_id", F.col("n").cast("long").alias("n"))
 
 
@@ -162,7 +162,7 @@ def t12_trimmed(spark, sf):
 
 
 def u04_pairs(spark, sf):
-    e = _edges(spark, sf).where("a < 40").groupBy("a", "b").agg(F.count("*").alias("w")).select("a", "b", (F.col("a") * 1000 + F.col("b")).alias("ord"))
+    e = _edges(spark, sf).groupBy("a", "b").agg(F.count("*").alias("w")).select("a", "b", (F.col("a") * 1000 + F.col("b")).alias("ord"))
     return O.unordered_pairs(e, "a", "b", "ord")
 
 
@@ -198,7 +198,7 @@ ORACLE = {
       runs AS (SELECT user_id, min(h) AS s, count(*) AS n FROM i GROUP BY user_id, r)
       SELECT user_id, s AS start, n FROM runs JOIN n USING (user_id) WHERE c < 24 AND s < 24 AND NOT (s = 0 AND EXISTS (SELECT 1 FROM f WHERE f.user_id = runs.user_id AND f.h = 23))
       UNION ALL SELECT user_id, 0, 24 FROM n WHERE c = 24""",
-    "w07_chain": """WITH RECURSIVE v AS (SELECT DISTINCT user_id, CAST(floor(value) AS DOUBLE) AS v FROM events WHERE user_id < 40),
+    "w07_chain": """WITH RECURSIVE v AS (SELECT DISTINCT user_id, CAST(floor(value) AS DOUBLE) AS v FROM events),
       c AS (SELECT user_id, v, CAST(1 AS BIGINT) AS n FROM v UNION ALL SELECT c.user_id, (SELECT min(v.v) FROM v WHERE v.user_id = c.user_id AND v.v >= c.v + 2 AND v.v <= c.v + 5), n + 1 FROM c WHERE c.v IS NOT NULL)
       SELECT user_id, max(n) AS n FROM c WHERE v IS NOT NULL GROUP BY 1""",
     "w08_marker": "WITH e AS (SELECT event_id, date_trunc('hour', ts) AS t FROM events) SELECT event_id, CASE WHEN t < TIMESTAMP '2024-01-15 06:30:00' THEN 'past' WHEN t = (SELECT min(t) FROM e WHERE t >= TIMESTAMP '2024-01-15 06:30:00') THEN 'next' ELSE 'later' END AS state FROM e",
@@ -217,7 +217,7 @@ ORACLE = {
       SELECT g AS c_nationkey, unnest(ids) AS c_custkey FROM (SELECT g, arg_max(ids, n) AS ids FROM c GROUP BY g)""",
     "t08_children": """SELECT n_regionkey, '[' || string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}', ',' ORDER BY n_nationkey) || ']' AS floors FROM nation GROUP BY 1""",
     "t12_trimmed": "SELECT user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, user_id, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r <= floor(n * 0.8) GROUP BY 1",
-    "u04_pairs": "WITH e AS (SELECT DISTINCT l_suppkey AS a, (l_suppkey * 7 + l_linenumber) % 100 AS b FROM lineitem WHERE l_suppkey < 40) SELECT a, b, a * 1000 + b AS ord FROM (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY a * 1000 + b) AS r FROM e WHERE a <> b) WHERE r = 1",
+    "u04_pairs": "WITH e AS (SELECT DISTINCT l_suppkey AS a, (l_suppkey * 7 + l_linenumber) % 100 AS b FROM lineitem) SELECT a, b, a * 1000 + b AS ord FROM (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY a * 1000 + b) AS r FROM e WHERE a <> b) WHERE r = 1",
     "u05_segments": "SELECT min(c_custkey) AS c_custkey FROM (SELECT c_custkey, [c_custkey % 5, c_custkey % 3] AS p, [c_custkey % 4, c_custkey % 2] AS q FROM customer) GROUP BY least(p, q), greatest(p, q)",
     "t11_apart": f"""WITH RECURSIVE d AS (SELECT g, CAST(face AS INT) AS deg, min(score) AS score FROM ({_SCORED}) GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score, deg) AS n FROM d),
       c(g, n, s, f) AS (SELECT DISTINCT g, CAST(0 AS BIGINT), []::BIGINT[], []::INT[] FROM o UNION ALL SELECT g, n, CASE WHEN take THEN list_append(s, score) ELSE s END, CASE WHEN take THEN list_append(f, deg) ELSE f END

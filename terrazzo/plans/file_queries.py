@@ -68,8 +68,8 @@ def s10_extract(spark, sf):
     member, tags = "array<struct<type:string,ref:bigint,role:string>>", "map<string,string>"
     w = ways.select(F.lit("way").alias("type"), "id", none("double").alias("lat"), none("double").alias("lon"), "nodes", none(member).alias("members"), F.when(F.col("id") % 10 == 0, F.create_map(F.lit("highway"), F.lit("path"))).alias("tags"))
     n = nodes.select(F.lit("node").alias("type"), "id", "lat", "lon", none("array<bigint>").alias("nodes"), none(member).alias("members"), F.when(F.col("id") % 100 == 1, F.create_map(F.lit("entrance"), F.lit("yes"))).alias("tags"))
-    o = table(spark, sf, "orders").where("o_custkey % 50 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(F.struct(F.lit("way").alias("type"), F.col("o_orderkey").alias("ref"), F.lit("outer").alias("role"))).alias("members"))
-    r = o.select(F.lit("relation").alias("type"), "id", none("double").alias("lat"), none("double").alias("lon"), none("array<bigint>").alias("nodes"), "members", F.create_map(F.lit("type"), F.lit("multipolygon"), F.lit("highway"), F.lit("x")).cast(tags).alias("tags"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(F.struct(F.lit("way").alias("type"), F.col("o_orderkey").alias("ref"), F.lit("outer").alias("role"))).alias("members"))
+    r = o.select(F.lit("relation").alias("type"), "id", none("double").alias("lat"), none("double").alias("lon"), none("array<bigint>").alias("nodes"), "members", F.create_map(F.lit("type"), F.lit("multipolygon"), F.when(F.col("id") % 50 == 0, "highway").otherwise("landuse"), F.lit("x")).cast(tags).alias("tags"))
     e = S.extract(n.unionByName(w).unionByName(r), F.map_contains_key("tags", F.lit("highway")), F.map_contains_key("tags", F.lit("entrance")))
     return e.groupBy("type").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
 

@@ -117,7 +117,7 @@ def j22_target(spark, sf):
 def j05_hubs(spark, sf):
     k = F.col("c_custkey")
     nodes = table(spark, sf, "customer").select(k.alias("node"), (k % 500).alias("room"), pick(["room", "door", "stair"], k).alias("type"))
-    rooms = table(spark, sf, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("room"), pick(["corridor", "lab"], F.col("p_partkey")).alias("kind"))
+    rooms = table(spark, sf, "part").select(F.col("p_partkey").alias("room"), pick(["corridor", "lab"], F.col("p_partkey")).alias("kind"))
     return L.hubs_to_corridors(nodes, rooms).select("node", "type")
 
 
@@ -139,7 +139,7 @@ def j06_entrances(spark, sf):
 def j13_tags(spark, sf):
     k = F.col("n_nationkey")
     spaces = rings(spark, sf).select(k.cast("long").alias("space"), "ring", F.when(k % 3 == 0, F.concat(F.lit("N"), (k + F.when(k % 2 == 0, 1).otherwise(500)).cast("string"))).alias("own"))
-    tags = points(spark, sf).where("c_custkey < 60").select(F.col("c_custkey").alias("tag"), F.concat(F.lit("N"), F.col("c_custkey").cast("string")).alias("number"), "p")
+    tags = points(spark, sf).select(F.col("c_custkey").alias("tag"), F.concat(F.lit("N"), F.col("c_custkey").cast("string")).alias("number"), "p")
     return L.match_tags(spaces, tags)
 
 
@@ -178,7 +178,7 @@ def j17_infer(spark, sf):
 
 
 def j25_probe(spark, sf):
-    doors = points(spark, sf).where("c_custkey < 600").select(F.col("c_custkey").alias("door"), "p", F.lit(1.0).alias("dx"), F.lit(0.5).alias("dy"))
+    doors = points(spark, sf).select(F.col("c_custkey").alias("door"), "p", F.lit(1.0).alias("dx"), F.lit(0.5).alias("dy"))
     r = L.probe(doors, rings(spark, sf).select(F.col("n_nationkey").alias("ring_id"), "ring"), 100.0, 6, 10.0)
     return r.select("door", F.col("ring_id").cast("long").alias("ring_id"), F.col("k").cast("long").alias("k"))
 
@@ -186,15 +186,16 @@ def j25_probe(spark, sf):
 def _rooms(spark, sf):
     k = F.col("p_partkey")
     number = F.when(k % 10 == 0, F.concat((k % 30).cast("string"), F.lit("00"))).when(k % 10 == 1, "UNK-1").otherwise("12")
-    return table(spark, sf, "part").where("p_partkey < 100").select(k.alias("room"), F.when(k % 5 == 0, "corridor").when(k % 7 == 0, "lab").otherwise("other").alias("kind"), number.alias("number"), (k * 7 % 200 + 20).cast("double").alias("area"), (k * 3 % 120 + 2).cast("double").alias("inradius"))
+    return table(spark, sf, "part").select(k.alias("room"), F.when(k % 5 == 0, "corridor").when(k % 7 == 0, "lab").otherwise("other").alias("kind"), number.alias("number"), (k * 7 % 200 + 20).cast("double").alias("area"), (k * 3 % 120 + 2).cast("double").alias("inradius"))
 
 
 def _openings(spark, sf):
     k = F.col("p_partkey")
-    p = table(spark, sf, "part").where("p_partkey < 100")
-    via = F.when(k % 4 == 0, "open").otherwise("door")
+    p = table(spark, sf, "part")
+    via = F.when(k % 4 == 0, "open").when(k % 4 == 1, "inferred").otherwise("door")
     e = p.select(k.alias("a"), (k * 3 % 100).alias("b"), via.alias("via")).unionByName(p.select(k.alias("a"), (k * 7 % 100).alias("b"), via.alias("via"))).unionByName(p.where("p_partkey % 3 = 0").select(k.alias("a"), ((k + 1) % 100).alias("b"), F.lit("open").alias("via")))
-    return e.where("a <> b")
+    out = p.where("p_partkey % 11 = 0").select(k.alias("a"), F.lit(None).cast("long").alias("b"), via.alias("via"))
+    return e.where("a <> b").unionByName(out)
 
 
 def x01_refine(spark, sf):
@@ -202,37 +203,43 @@ def x01_refine(spark, sf):
 
 
 def _x01() -> str:
-    rules = """CASE WHEN regexp_full_match(number, '\\d?\\d00[A-Z]?') AND area >= 80 AND n >= 3 AND h >= 1 THEN 'circulation number' WHEN d = 0 AND h >= 2 AND area >= 40 THEN 'open link'
-      WHEN n >= 7 AND inradius <= 96 AND h >= 1 THEN 'serves many' WHEN inradius <= 60 AND area / (inradius * inradius) >= 8 AND h >= 2 AND n >= 3 THEN 'narrow passage' END"""
-    sql = """WITH r0 AS (SELECT p_partkey AS room, CASE WHEN p_partkey % 5 = 0 THEN 'corridor' WHEN p_partkey % 7 = 0 THEN 'lab' ELSE 'other' END AS kind, CASE WHEN p_partkey % 10 = 0 THEN (p_partkey % 30) || '00' WHEN p_partkey % 10 = 1 THEN 'UNK-1' ELSE '12' END AS number,
-      CAST(p_partkey * 7 % 200 + 20 AS DOUBLE) AS area, CAST(p_partkey * 3 % 120 + 2 AS DOUBLE) AS inradius, CAST(NULL AS VARCHAR) AS why FROM part WHERE p_partkey < 100),
-      o AS (SELECT room AS a, room * 3 % 100 AS b, CASE WHEN room % 4 = 0 THEN 'open' ELSE 'door' END AS via FROM r0 UNION ALL SELECT room, room * 7 % 100, CASE WHEN room % 4 = 0 THEN 'open' ELSE 'door' END FROM r0 UNION ALL SELECT room, (room + 1) % 100, 'open' FROM r0 WHERE room % 3 = 0),
-      s AS (SELECT a, b, via FROM o WHERE a <> b UNION ALL SELECT b, a, via FROM o WHERE a <> b)"""
+    rules = """CASE WHEN regexp_full_match(number, '\\d?\\d00[A-Z]?') AND area >= 80 AND n >= 3 AND h >= 1 THEN 'circulation number ' || number || ' with passages to ' || n || ' spaces, ' || h || ' of them hallways'
+      WHEN d = 0 AND x = 0 AND h >= 2 AND area >= 40 THEN 'open link between ' || h || ' hallways (area lines or openings, no door)'
+      WHEN n >= 7 AND inradius <= 96 AND h >= 1 THEN 'hall serving ' || n || ' spaces, ' || CAST(floor(2 * inradius / 12 + 0.5) AS BIGINT) || ' ft wide at most'
+      WHEN inradius <= 60 AND area * 144 / (inradius * inradius) >= 8 AND h >= 2 AND n >= 3 THEN 'narrow passage (inradius ' || CAST(inradius AS BIGINT) || ' in) joining ' || h || ' hallways and ' || (n - h) || ' other spaces' END"""
+    via = "['open', 'inferred', 'door', 'door'][room % 4 + 1]"
+    sql = f"""WITH r0 AS (SELECT p_partkey AS room, CASE WHEN p_partkey % 5 = 0 THEN 'corridor' WHEN p_partkey % 7 = 0 THEN 'lab' ELSE 'other' END AS kind, CASE WHEN p_partkey % 10 = 0 THEN (p_partkey % 30) || '00' WHEN p_partkey % 10 = 1 THEN 'UNK-1' ELSE '12' END AS number,
+      CAST(p_partkey * 7 % 200 + 20 AS DOUBLE) AS area, CAST(p_partkey * 3 % 120 + 2 AS DOUBLE) AS inradius, CAST(NULL AS VARCHAR) AS why FROM part),
+      o AS (SELECT room AS a, room * 3 % 100 AS b, {via} AS via FROM r0 UNION ALL SELECT room, room * 7 % 100, {via} FROM r0 UNION ALL SELECT room, (room + 1) % 100, 'open' FROM r0 WHERE room % 3 = 0),
+      s AS (SELECT a, b, via FROM o WHERE a <> b UNION ALL SELECT b, a, via FROM o WHERE a <> b UNION ALL SELECT room, NULL, {via} FROM r0 WHERE room % 11 = 0)"""
     for i in range(3):
-        sql += f""", e{i} AS (SELECT a AS room, count(DISTINCT b) AS n, count(DISTINCT b) FILTER (b IN (SELECT room FROM r{i} WHERE kind = 'corridor')) AS h, count(*) FILTER (via = 'door') AS d, count(*) FILTER (via = 'open') AS p FROM s GROUP BY 1),
-      f{i} AS (SELECT r.*, CASE WHEN kind = 'other' THEN {rules} END AS f FROM r{i} r LEFT JOIN (SELECT r{i}.room AS q, coalesce(n, 0) AS n, coalesce(h, 0) AS h, coalesce(d, 0) AS d FROM r{i} LEFT JOIN e{i} USING (room)) x ON r.room = q),
+        sql += f""", e{i} AS (SELECT a AS room, count(DISTINCT b) AS n, count(DISTINCT b) FILTER (b IN (SELECT room FROM r{i} WHERE kind = 'corridor')) AS h, count(*) FILTER (via <> 'open') AS d, count(*) FILTER (via = 'open') AS p, count(*) FILTER (b IS NULL) AS x FROM s GROUP BY 1),
+      f{i} AS (SELECT r.*, CASE WHEN kind = 'other' THEN {rules} END AS f FROM r{i} r LEFT JOIN (SELECT r{i}.room AS q, coalesce(n, 0) AS n, coalesce(h, 0) AS h, coalesce(d, 0) AS d, coalesce(x, 0) AS x FROM r{i} LEFT JOIN e{i} USING (room)) x ON r.room = q),
       r{i + 1} AS (SELECT room, CASE WHEN f IS NOT NULL THEN 'corridor' ELSE kind END AS kind, number, area, inradius, coalesce(why, f) AS why FROM f{i})"""
     return sql
 
 
 def x08_candidates(spark, sf):
     rooms, openings = _rooms(spark, sf), _openings(spark, sf)
-    halls = rooms.where("kind = 'corridor'").select(F.col("room").alias("node"))
-    ev = A.passage_evidence(openings, halls, "a", "b", "via", ["door", "open"]).withColumnRenamed("node", "room")
+    ev = C.room_evidence(openings, rooms.where("kind = 'corridor'").select(F.col("room").alias("node")))
     r = rooms.withColumns({"convexity": (F.col("room") % 10) / 10.0, "degree": F.col("room") % 5})
     return C.candidates(r, ev).select("room", "confidence", F.array_join("evidence", "; ").alias("evidence"))
 
 
-_CAND = f"""{_x01()}, c AS (SELECT r.room, regexp_full_match(number, '\\d?\\d00[A-Z]?') AS c1, coalesce(n, 0) AS n, inradius <= 60 AND area / (inradius * inradius) >= 8 AS c3, (r.room % 10) / 10.0 < 0.75 AS c4, coalesce(p, 0) > 0 AND coalesce(h, 0) > 0 AS c5, r.room % 5 >= 3 AS c6, starts_with(number, 'UNK-') AS c7
+_CAND = f"""{_x01()}, c AS (SELECT r.room, number, area, inradius, regexp_full_match(number, '\\d?\\d00[A-Z]?') AS c1, coalesce(n, 0) AS n, coalesce(h, 0) AS h, coalesce(x, 0) > 0 AND area <= 300 AND n BETWEEN 1 AND 2 AS c2, area * 144 / (inradius * inradius) AS el,
+    inradius <= 72 AND area * 144 / (inradius * inradius) >= 8 AS c3, (r.room % 10) / 10.0 AS cx, coalesce(p, 0) > 0 AND coalesce(h, 0) > 0 AS c5, r.room % 5 AS g, starts_with(number, 'UNK-') AS c7
   FROM r0 r LEFT JOIN e0 USING (room) WHERE kind = 'other'),
-g AS (SELECT room, CASE WHEN c1 THEN 0.3 ELSE 0 END + CASE WHEN n >= 4 THEN least(0.35, 0.2 + 0.03 * (n - 4)) ELSE 0 END + CASE WHEN c3 THEN 0.2 ELSE 0 END + CASE WHEN c4 THEN 0.1 ELSE 0 END + CASE WHEN c5 THEN 0.15 ELSE 0 END + CASE WHEN c6 THEN 0.15 ELSE 0 END + CASE WHEN c7 THEN 0.1 ELSE 0 END AS t,
-  concat_ws('; ', CASE WHEN c1 THEN 'circulation number' END, CASE WHEN n >= 4 THEN 'many passages' END, CASE WHEN c3 THEN 'narrow and long' END, CASE WHEN c4 THEN 'bent' END, CASE WHEN c5 THEN 'open to a hallway' END, CASE WHEN c6 THEN 'routes meet' END, CASE WHEN c7 THEN 'no number' END) AS evidence FROM c)
+g AS (SELECT room, CASE WHEN c1 THEN 0.3 ELSE 0 END + CASE WHEN c2 THEN 0.35 ELSE 0 END + CASE WHEN n >= 4 THEN least(0.35, 0.2 + 0.03 * (n - 4)) ELSE 0 END + CASE WHEN c3 THEN 0.2 ELSE 0 END + CASE WHEN cx < 0.75 THEN 0.1 ELSE 0 END + CASE WHEN c5 THEN 0.15 ELSE 0 END + CASE WHEN g >= 3 THEN 0.15 ELSE 0 END + CASE WHEN c7 THEN 0.1 ELSE 0 END AS t,
+  concat_ws('; ', CASE WHEN c1 THEN 'circulation-style number ' || number END, CASE WHEN c2 THEN 'vestibule: an exterior door and ' || n || CASE WHEN n = 1 THEN ' inner passage, ' ELSE ' inner passages, ' END || CAST(area AS BIGINT) || ' sf' END, CASE WHEN n >= 4 THEN 'passages to ' || n || ' spaces' END,
+    CASE WHEN c3 THEN 'narrow and long (inradius ' || CAST(inradius AS BIGINT) || ' in, area/inradius^2 ' || CAST(floor(el + 0.5) AS BIGINT) || ')' END, CASE WHEN cx < 0.75 THEN 'L or T shaped (convexity ' || printf('%.2f', cx) || ')' END, CASE WHEN c5 THEN 'open to ' || h || CASE WHEN h = 1 THEN ' hallway' ELSE ' hallways' END || ' (area line or opening, no door)' END,
+    CASE WHEN g >= 3 THEN 'routes pass through it (' || g || ' passages meet at its center)' END, CASE WHEN c7 THEN 'no room number in the drawing' END) AS evidence FROM c)
 SELECT room, CAST(least(1, t) AS DOUBLE) AS confidence, evidence FROM g WHERE t >= 0.35"""
 
 
 def x02_types(spark, sf):
     k = F.col("p_partkey")
-    t = C.room_type((k % 600).cast("double"), k % 4, k % 8, F.concat((k % 20).cast("string"), F.lit("00")), pick(["Elev 1", "Lab", "Stair", "Mech", "Hall"], k))
+    area, inradius, number = (k % 600).cast("double"), (k % 120 + 1).cast("double"), F.concat((k % 20).cast("string"), F.lit("00"))
+    t = C.room_type(F.when(k % 9 == 0, "chase").otherwise("room"), area, inradius, number, F.when(k % 13 == 0, k % 3).otherwise(0), k % 5, F.when(k % 17 == 0, "stair"), F.lit("treads"))
     return table(spark, sf, "part").select("p_partkey", t["type"].alias("type"), t["why"].alias("why"))
 
 
@@ -278,20 +285,20 @@ ORACLE = {
     "p25_rings": """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'a ring needs an area' WHEN 1 THEN 'a ring needs four positions' WHEN 2 THEN 'a ring must end where it begins' END AS ring,
       CASE WHEN p_partkey % 7 = 0 THEN 'a position needs two numbers' WHEN p_partkey % 400 > 180 OR p_partkey % 100 > 90 THEN 'a position must be on the earth' END AS position FROM part""",
     "p29_leaks": "SELECT p_partkey, 'red .*' AS pattern FROM part WHERE p_name LIKE '%red %' UNION ALL SELECT p_partkey, '(hot|cold) ring' FROM part WHERE p_name LIKE '%hot ring%' OR p_name LIKE '%cold ring%'",
-    "p31_links": """SELECT page_id, CAST(len(l) AS BIGINT) AS n, l[1] AS first FROM (SELECT page_id, regexp_extract_all(html, '(?:href|src)="(/[^/"][^"]*)"', 1) AS l FROM pages)""",
+    "p31_links": f"""SELECT page_id, CAST(len(l) AS BIGINT) AS n, l[1] AS first FROM (SELECT page_id, regexp_extract_all(html, '{Q.ROOT_RELATIVE.replace("'", "''")}') AS l FROM pages)""",
     "j20_rooms": """WITH r AS (SELECT p_partkey AS k, p_size AS b, p_partkey % 200 AS n, p_partkey % 3 AS level FROM part), q AS (SELECT * FROM r WHERE k % 2 = 0),
       h AS (SELECT q.k AS query, r.k, r.level FROM q JOIN r USING (b) WHERE (q.k % 4 = 0 AND r.n = q.n) OR (q.k % 4 <> 0 AND r.k = q.k))
       SELECT query, 'rm' || arg_min(k, level * 1000000 + k) AS room FROM h GROUP BY 1""",
     "j21_cascade": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'n' || c_nationkey WHEN c_custkey % 3 = 1 AND c_nationkey % 7 < 5 THEN 'r' || c_nationkey % 7 END AS found FROM customer",
     "j22_target": "SELECT c_nationkey AS b, arg_min(c_name, (c_custkey % 4) * 10000000 + c_custkey) AS name, min(c_custkey % 4) AS priority FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1",
-    "j05_hubs": "SELECT c_custkey AS node, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 500 < 400 AND c_custkey % 500 % 2 = 0 THEN 'waypoint' ELSE ['room', 'door', 'stair'][c_custkey % 3 + 1] END AS type FROM customer",
+    "j05_hubs": "SELECT c_custkey AS node, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 500 % 2 = 0 AND c_custkey % 500 IN (SELECT p_partkey FROM part) THEN 'waypoint' ELSE ['room', 'door', 'stair'][c_custkey % 3 + 1] END AS type FROM customer",
     "j23_decorate": "SELECT c_custkey, CASE WHEN c_nationkey < 20 THEN 'NATION_' || c_nationkey ELSE 'nation ' || c_nationkey END AS label FROM customer",
     "j06_entrances": """WITH n AS (SELECT c_custkey AS k, c_custkey % 30 AS f, c_custkey * 37 % 1000 AS x, c_custkey * 91 % 1000 AS y FROM customer), m AS (SELECT max(k) AS m FROM n),
       i AS (SELECT a.k, CASE WHEN a.k >= 30 THEN a.k - 30 WHEN a.k + 30 <= m THEN a.k + 30 END AS o FROM n a, m WHERE a.k % 5 = 0),
       s AS (SELECT n.k, n.f // 3 AS building, n.f % 3 + 1 AS level, ['alt', 'main', 'emergency'][n.k % 3 + 1] AS access, CASE WHEN n.k % 35 = 0 THEN 91 WHEN o IS NOT NULL THEN (degrees(atan2(n.x - b.x, b.y - n.y)) + 360) % 360 END AS d FROM n JOIN i USING (k) LEFT JOIN n b ON b.k = i.o),
-      l AS (SELECT *, CASE WHEN d IS NULL THEN 'building' ELSE ['north', 'north-east', 'east', 'south-east', 'south', 'south-west', 'west', 'north-west'][CAST(floor(d / 45 + 0.5) AS BIGINT) % 8 + 1] END AS side FROM s WHERE building < 8),
+      l AS (SELECT *, CASE WHEN d IS NULL THEN 'Building' ELSE ['North', 'Northeast', 'East', 'Southeast', 'South', 'Southwest', 'West', 'Northwest'][CAST(floor(d / 45 + 0.5) AS BIGINT) % 8 + 1] END AS side FROM s WHERE building < 8),
       o AS (SELECT *, row_number() OVER (PARTITION BY building, side, level ORDER BY ['main', 'alt', 'emergency'].list_position(access), k) AS n FROM l)
-      SELECT k AS node, building, access, upper(left(side, 1)) || substr(side, 2) || ' entrance' || CASE WHEN n > 1 THEN ' ' || n ELSE '' END || CASE WHEN level <> 1 THEN ' (level ' || level || ')' ELSE '' END AS label FROM o""",
+      SELECT k AS node, building, access, side || ' entrance' || CASE WHEN n > 1 THEN ' ' || n ELSE '' END || CASE WHEN level > 1 THEN ', level ' || level ELSE '' END AS label FROM o""",
     "j14_stack": """WITH r AS (SELECT n_nationkey AS id, n_nationkey // 5 AS level, n_nationkey % 5 * 150 AS x, n_nationkey * 7 % 40 AS y FROM nation),
       p AS (SELECT a.id, b.id AS other, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM r a JOIN r b ON b.level = a.level + 1 WHERE abs(a.x - b.x) < 200)
       SELECT id, arg_min(other, dx * 1000 + other) AS other FROM p GROUP BY 1""",
@@ -307,9 +314,10 @@ ORACLE = {
       SELECT room, arg_max(other, len * CASE WHEN other % 3 = 0 THEN 3 ELSE 1 END * 10000000 - other) AS other FROM s WHERE room % 4 = 0 OR room % 5 = 0 GROUP BY 1""",
     "x01_refine": f"{_x01()} SELECT room, kind, why FROM r3",
     "x08_candidates": _CAND,
-    "x02_types": """SELECT p_partkey, CASE WHEN l = 'Elev 1' OR (t < 5 AND s >= 2 AND a <= 80) THEN 'elevator' WHEN t >= 5 OR (s >= 2 AND l = 'Stair') THEN 'stair' WHEN l = 'Mech' THEN 'mechanical' WHEN a >= 400 THEN 'corridor' ELSE 'other' END AS type,
-      CASE WHEN l = 'Elev 1' THEN 'label' WHEN t >= 5 THEN 'treads' WHEN s >= 2 AND a <= 80 THEN 'small and stacked' WHEN s >= 2 AND l = 'Stair' THEN 'label and stacked' WHEN l = 'Mech' THEN 'label' WHEN a >= 400 THEN 'number and area' ELSE 'none' END AS why
-      FROM (SELECT p_partkey, p_partkey % 600 AS a, p_partkey % 4 AS s, p_partkey % 8 AS t, ['Elev 1', 'Lab', 'Stair', 'Mech', 'Hall'][p_partkey % 5 + 1] AS l FROM part)""",
+    "x02_types": """WITH t AS (SELECT p_partkey, p_partkey AS k, p_partkey % 600 AS a, p_partkey % 120 + 1 AS r, (p_partkey % 20) || '00' AS number, CASE WHEN p_partkey % 13 = 0 THEN p_partkey % 3 ELSE 0 END AS w, (p_partkey % 600) * 144.0 / ((p_partkey % 120 + 1) * (p_partkey % 120 + 1)) AS el FROM part)
+      SELECT p_partkey, CASE WHEN k % 17 = 0 THEN 'stair' WHEN k % 9 = 0 THEN 'mechanical' WHEN w >= 1 THEN 'restroom' WHEN a >= 80 AND ((r <= 72 AND el >= 14) OR (r <= 96 AND el >= 8 AND k % 5 >= 3)) THEN 'corridor' WHEN a < 30 THEN 'storage' ELSE 'other' END AS type,
+        CASE WHEN k % 17 = 0 THEN 'treads' WHEN k % 9 = 0 THEN 'AREA-CHAS chase polygon' WHEN w >= 1 THEN w || ' toilet/urinal fixture block(s)' WHEN a >= 80 AND r <= 72 AND el >= 14 THEN 'narrow and long (inradius ' || r || ' in, area/inradius^2 ' || CAST(floor(el + 0.5) AS BIGINT) || ')'
+          WHEN a >= 80 AND r <= 96 AND el >= 8 AND k % 5 >= 3 THEN 'circulation number ' || number || ' with elongated shape and ' || (k % 5) || ' openings' WHEN a < 30 THEN 'under 30 sf (' || a || ' sf): closet' ELSE 'no use text in the DWG and no geometric evidence' END AS why FROM t""",
     "m24_scores": """SELECT p_partkey, CAST(floor((0.35 * [1, 0.5, 0.3, 0.15, 0.1][p_partkey % 5 + 1]::DOUBLE + 0.2 * CASE WHEN p_partkey % 80 >= 60 THEN 1 WHEN p_partkey % 80 >= 42 THEN 0.6 ELSE 0.3 END::DOUBLE + 0.3 * greatest(0, 1 - (p_partkey % 50 + CASE WHEN p_partkey % 2 = 0 THEN 10 ELSE 0 END) / 40.0::DOUBLE)
       + 0.15 * CASE WHEN p_partkey % 50 < 3 THEN 1 WHEN p_partkey % 3 = 0 THEN 0 ELSE greatest(0, cos(radians(p_partkey % 360 - p_partkey * 7 % 360))) END) * 10000 + 0.5) AS DOUBLE) / 10000 AS score FROM part""",
     "m23_outward": "SELECT n_nationkey, CAST(floor(-20 / sqrt(32800::DOUBLE) * 10000 + 0.5) AS DOUBLE) / 10000 AS x, CAST(floor(-180 / sqrt(32800::DOUBLE) * 10000 + 0.5) AS DOUBLE) / 10000 AS y FROM nation",

@@ -91,5 +91,5 @@ ORACLE = {
       SELECT w.user_id, run_at AS "at", count(*) AS n FROM w JOIN t ON t.user_id = w.user_id AND t.t <= run_at AND t.t > coalesce(prev, -1) GROUP BY ALL""",
     "e07_dispatch": "SELECT event_id, CASE WHEN event_type IN ('click', 'purchase') THEN event_type ELSE 'unknown' END AS handler FROM events",
     "e08_links": "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'payload' WHEN page_id % 3 = 0 THEN 'place' WHEN page_id % 2 = 0 THEN 'room' END AS action, CASE WHEN page_id % 5 = 0 THEN 'q' WHEN page_id % 3 = 0 THEN url WHEN page_id % 2 = 0 THEN 'r' || page_id END AS value, CASE WHEN page_id % 7 = 0 THEN 's1' END AS schedule FROM pages",
-    "r32_messages": f"SELECT CASE state WHEN 'offcampus' THEN 'Not on campus' WHEN 'indoors' THEN 'Inside B1' END AS said, count(*) AS n FROM (SELECT CASE WHEN {_AWAY.format(x='event_id * 37 % 1200', y='event_id * 91 % 1100')} THEN 'offcampus' WHEN event_id % 6 = 0 THEN 'indoors' ELSE 'on' END AS state FROM events) GROUP BY 1",
+    "r32_messages": f"SELECT CASE state WHEN 'offcampus' THEN 'You are not on campus yet.' WHEN 'indoors' THEN 'You seem to be inside B1. GPS is not precise indoors: scan a nearby campus QR code to set where you are.' END AS said, count(*) AS n FROM (SELECT CASE WHEN {_AWAY.format(x='event_id * 37 % 1200', y='event_id * 91 % 1100')} THEN 'offcampus' WHEN event_id % 6 = 0 THEN 'indoors' ELSE 'on' END AS state FROM events) GROUP BY 1",
 }

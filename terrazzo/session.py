@@ -71,7 +71,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def broadcast_if(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     """A broadcast hint when the counted `rows` are within `max_rows`; otherwise Spark joins by shuffle."""
     return F.broadcast(df) if rows <= max_rows else df
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

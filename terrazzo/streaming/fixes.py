@@ -173,6 +173,24 @@ def deep_link(params: Column) -> Column:
     return F.struct(action.alias("action"), F.coalesce(get("qr"), get("loc"), get("room")).alias("value"), get("sched").alias("schedule"))
 
 
+# What the chip says in each state; {0} is the building's name.
+MESSAGES = {
+    "locating": "Finding your location…",
+    "denied": "Location is off for this site. You can still search for a starting room or building, or scan a campus QR code.",
+    "unavailable": "Your location is not available right now. Search for a starting room or building, or scan a campus QR code.",
+    "indoors": "You seem to be inside {0}. GPS is not precise indoors: scan a nearby campus QR code to set where you are.",
+    "offcampus": "You are not on campus yet.",
+}
+
+
 def message(state: Column, building: Column) -> Column:
-    """What a state's chip says; null when nothing needs saying."""
-    return F.when(state == "locating", "Looking for your position").when(state == "denied", "Position is switched off").when(state == "unavailable", "No position just now").when(state == "indoors", F.concat(F.lit("Inside "), F.coalesce(building, F.lit("a building")))).when(state == "offcampus", "Not on campus")
+    """What a state's chip says, a null building as empty; null when nothing needs saying."""
+    texts = F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv))
+    return F.replace(F.try_element_at(texts, F.coalesce(state, F.lit(""))), F.lit("{0}"), F.coalesce(building, F.lit("")))
+
+
+def campus_box(west: Column, south: Column, east: Column, north: Column, default: tuple[float, float, float, float]) -> Column:
+    """struct(west, south, east, north) of the loaded map, or the default box where any bound is missing."""
+    own = F.struct(*(c.cast("double").alias(n) for c, n in zip((west, south, east, north), ("west", "south", "east", "north"), strict=True)))
+    fixed = F.struct(*(F.lit(float(v)).alias(n) for v, n in zip(default, ("west", "south", "east", "north"), strict=True)))
+    return F.when(west.isNull() | south.isNull() | east.isNull() | north.isNull(), fixed).otherwise(own)
