@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,8 +73,8 @@ class Encoding:
     tokenizer: str
     end_id: int = 2
     width: int = 2
-    cache: int = 800_000
-    slice_bytes: int = 6_000_000
+    cache: int = 400_000
+    slice_bytes: int = 2_500_000
 
     @property
     def kind(self) -> str:
@@ -134,7 +135,7 @@ class PieceEncoder:
             raise ValueError(f"ids of this vocabulary do not fit in {encoding.width} bytes")
         self.by_piece = self.known_steps()
         self.end = np.array([encoding.end_id], encoding.kind).tobytes()
-        self.words = _Kept(self.word, 60_000)
+        self.words = _Kept(self.word, 30_000)
         # known pieces, how many ids each has, and all their ids; " ", which is no piece, stands for the end of a text
         self.pieces, self.size, self.ids = pa.array([" "]), np.ones(1, np.int32), np.array([encoding.end_id], encoding.kind)
         self.packs = [struct.Struct(f"<{n}{'H' if encoding.width == 2 else 'I'}").pack for n in range(16)]
@@ -213,11 +214,11 @@ class PieceEncoder:
         ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
         code = np.insert(number[numbered.indices.to_numpy()], ends, 0)
         n = self.size[code]
-        stop = np.cumsum(n, dtype=np.int64)
-        at = np.repeat((np.cumsum(self.size, dtype=np.int64) - self.size)[code] - (stop - n), n)
-        at += np.arange(len(at))
+        stop = np.cumsum(n, dtype=np.int32)  # a slice has fewer ids than bytes, and fewer than 2^31 of these
+        at = np.repeat((np.cumsum(self.size, dtype=np.int32) - self.size)[code] - (stop - n), n)
+        at += np.arange(len(at), dtype=np.int32)
         ids = self.ids[at]
-        bounds = np.concatenate(([0], stop[ends + np.arange(len(ends))])) * self.of.width
+        bounds = np.concatenate(([0], stop[ends + np.arange(len(ends))])).astype(np.int64) * self.of.width
         if len(self.pieces) > self.of.cache:
             self.keep(np.union1d(number, [0]))
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids)])
@@ -233,6 +234,10 @@ def encode(docs: DataFrame, encoding: Encoding, cuts: np.ndarray | None = None,
     shared = docs.sparkSession.sparkContext.broadcast(np.array([] if cuts is None else cuts, np.int64))  # 8 bytes a shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encoded(batches)
+        pa.default_memory_pool().release_unused()  # the worker lives on, what it worked with need not
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from terrazzo.llm.token_records import PieceEncoder as Kept  # the module's own, so that its cache outlives the task
 
         encoder, cuts = Kept.of_worker(encoding), shared.value
@@ -314,7 +319,20 @@ def write_records(docs: DataFrame, encoding: Encoding, path: str, shard_chars: i
             yield out.close()
 
     written = dealt.mapInArrow(run, MANIFEST)
-    return staged(written, "token-manifest").orderBy("shard")
+    with small_batches(docs.sparkSession):
+        return staged(written, "token-manifest").orderBy("shard")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Within it, what runs hands Python workers batches of so many rows, so long texts take little memory on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class _Shard:
