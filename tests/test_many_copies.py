@@ -58,7 +58,7 @@ def test_small_keys_as_in_sql(spark, folders, name, key, below):
     assert want and rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
 
 
-@pytest.mark.parametrize("name", ["j08_nearest", "j09_nearest_one"])
+@pytest.mark.parametrize("name", ["j08_nearest", "j09_nearest_one", "j10_connect"])
 def test_joins_grow_with_rows(spark, folders, name):
     four, eight = (most_joined(QUERIES[name](spark, sf))[1] for sf in folders[1:])
     assert 0 < eight <= 2.1 * four
