@@ -49,7 +49,7 @@ def folders(spark, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize(("name", "key", "below"), [("j08_nearest", "c_custkey", 1000), ("j09_nearest_one", "c_custkey", 1000), ("j11_snap", "c_custkey", 1000)])
+@pytest.mark.parametrize(("name", "key", "below"), [("j08_nearest", "c_custkey", 1000), ("j09_nearest_one", "c_custkey", 1000), ("j11_snap", "c_custkey", 1000), ("m25_blocked", "id", 300)])
 def test_small_keys_as_in_sql(spark, folders, name, key, below):
     df = QUERIES[name](spark, folders[1]).where(f"{key} < {below}")
     rel = connect(folders[1]).execute(ORACLE[name])
@@ -58,7 +58,7 @@ def test_small_keys_as_in_sql(spark, folders, name, key, below):
     assert want and rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
 
 
-@pytest.mark.parametrize("name", ["j08_nearest", "j09_nearest_one", "j10_connect", "j11_snap"])
+@pytest.mark.parametrize("name", ["j08_nearest", "j09_nearest_one", "j10_connect", "j11_snap", "m25_blocked"])
 def test_joins_grow_with_rows(spark, folders, name):
     four, eight = (most_joined(QUERIES[name](spark, sf))[1] for sf in folders[1:])
     assert 0 < eight <= 2.1 * four
