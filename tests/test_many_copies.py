@@ -4,7 +4,7 @@ import shutil
 from pathlib import Path
 
 import pytest
-from oracle import connect, rows_of
+from oracle import compare, connect, rows_of
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -58,7 +58,12 @@ def test_small_keys_as_in_sql(spark, folders, name, key, below):
     assert want and rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
 
 
-@pytest.mark.parametrize("name", ["j08_nearest", "j09_nearest_one", "j10_connect", "j11_snap", "m25_blocked"])
+@pytest.mark.parametrize("name", ["p03_nodes"])
+def test_copies_as_in_sql(spark, folders, name):
+    assert compare(spark, connect(folders[1]), folders[1], QUERIES[name], ORACLE[name]) == []
+
+
+@pytest.mark.parametrize("name", ["j08_nearest", "j09_nearest_one", "j10_connect", "j11_snap", "m25_blocked", "p03_nodes"])
 def test_joins_grow_with_rows(spark, folders, name):
     four, eight = (most_joined(QUERIES[name](spark, sf))[1] for sf in folders[1:])
     assert 0 < eight <= 2.1 * four
