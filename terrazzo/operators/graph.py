@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrazzo.operators.components import connected_components
+from terrazzo.operators.spatial import nearest_points, per_place
 from terrazzo.session import staged
 
 #: Graphs of so many edges, some 5 MB, are searched on copies in the workers.
@@ -268,31 +269,13 @@ def find_all(adj: DataFrame, starts: DataFrame, ends: DataFrame | None = None, m
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, ident: str) -> DataFrame:
-    """For each point (floor, x, y) the nearest node on its floor, ties to the smaller node.
+    """For each point (floor, x, y) the nearest node on its floor, ties to the smaller node (see nearest_points).
 
-    A point looks at the nine cells around it; what lies within a cell's width there is the nearest. Points without
-    such a node look again in cells four times as wide, until the cells cover all nodes, so pairs stay few.
+    Distances are between distinct places, so many points at one place are one search.
     """
-    n = staged(nodes.select("node", "floor", F.col("x").alias("nx"), F.col("y").alias("ny")), "nearest-nodes")
-    b = n.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("nx", "ny"))).first()
-    left = staged(points.select(ident, "floor", "x", "y"), "nearest-points")
-    if not b.n:
-        return left.limit(0).select(ident, F.lit(None).cast(nodes.schema["node"].dataType).alias("node"), F.lit(0.0).alias("dist"))
-    p = left.agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y"))).first()
-    span = max([b.max_nx, p.max_x or 0, b.max_ny, p.max_y or 0]) - min([b.min_nx, p.min_x or 0, b.min_ny, p.min_y or 0])
-    size, done = max(span / max(1.0, b.n**0.5), 1e-9), None
-    while True:
-        last = size > span
-        own = left.withColumn("__i", F.explode(F.sequence(F.floor(F.col("x") / size) - 1, F.floor(F.col("x") / size) + 1))).withColumn("__j", F.explode(F.sequence(F.floor(F.col("y") / size) - 1, F.floor(F.col("y") / size) + 1)))
-        cells = n.withColumns({"__i": F.floor(F.col("nx") / size), "__j": F.floor(F.col("ny") / size)})
-        d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
-        best = own.join(cells, ["floor", "__i", "__j"]).groupBy(ident).agg(F.min(F.struct(d.alias("d"), "node")).alias("r"))
-        best = staged(best.select(ident, "r.node", F.col("r.d").alias("dist")).where(F.lit(last) | (F.col("dist") <= size)), "nearest-found")
-        done = best if done is None else done.unionByName(best)
-        left = staged(left.join(best, ident, "left_anti"), "nearest-points")
-        if last or left.isEmpty():
-            return done
-        size *= 4
+    n = nodes.select("node", "floor", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    near = per_place(points.select(ident, "floor", "x", "y"), ["floor", "x", "y"], lambda at: nearest_points(at, n, "node", ["floor"]))
+    return near.select(ident, "node", F.col("d").alias("dist"))
 
 
 def plan_routes(edges: DataFrame, starts: DataFrame, goals: DataFrame, front_goals: DataFrame, **options) -> DataFrame:

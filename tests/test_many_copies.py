@@ -1,5 +1,6 @@
 """Tables in which places, shapes and keys' remainders repeat: rows stay those of the SQL, and joins grow with the rows."""
 
+import importlib
 import shutil
 from pathlib import Path
 
@@ -8,6 +9,7 @@ from oracle import compare, connect, rows_of
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from terrazzo import session
 
 SHIFT = 126_000  # a multiple of all moduli that places, floors and numbers take of a key
 KEYS = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey"}
@@ -58,7 +60,7 @@ def test_small_keys_as_in_sql(spark, folders, name, key, below):
     assert want and rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
 
 
-@pytest.mark.parametrize("name", ["p03_nodes"])
+@pytest.mark.parametrize("name", ["p03_nodes", "g19_nearest_node"])
 def test_copies_as_in_sql(spark, folders, name):
     assert compare(spark, connect(folders[1]), folders[1], QUERIES[name], ORACLE[name]) == []
 
@@ -67,3 +69,22 @@ def test_copies_as_in_sql(spark, folders, name):
 def test_joins_grow_with_rows(spark, folders, name):
     four, eight = (most_joined(QUERIES[name](spark, sf))[1] for sf in folders[1:])
     assert 0 < eight <= 2.1 * four
+
+
+@pytest.mark.parametrize(("module", "name"), [("graph", "g19_nearest_node")])
+def test_staged_joins_grow_with_rows(spark, folders, monkeypatch, module, name):
+    """As above for joins behind tables that are written on the way."""
+    made = []
+    keep = session.staged
+
+    def staged(df, what):
+        made.append(most_joined(df)[1])
+        return keep(df, what)
+
+    for m in ("spatial", module):
+        monkeypatch.setattr(importlib.import_module(f"terrazzo.operators.{m}"), "staged", staged, raising=False)
+    most = []
+    for sf in folders[1:]:
+        made.clear()
+        most.append(max(most_joined(QUERIES[name](spark, sf))[1], *made))
+    assert 0 < most[1] <= 2.1 * most[0]
