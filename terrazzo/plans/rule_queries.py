@@ -261,7 +261,7 @@ def x05_x06_segments(spark, sf):
     k = F.col("c_custkey")
     s = table(spark, sf, "customer").select("c_nationkey", k.alias("seg"), (k * 7 % 50).cast("double").alias("y"), (k * 13 % 200).cast("double").alias("x0"), (k * 13 % 200 + 10 + k % 30).cast("double").alias("x1"))
     m = C.collinear(s, ["c_nationkey"], 2.0).groupBy("c_nationkey").agg(F.count("*").alias("n_merged"), F.sum(F.col("x1") - F.col("x0")).alias("total"))
-    p = C.facing_pairs(s, ["c_nationkey"], 3.0, 6.0, 8.0).groupBy("c_nationkey").agg(F.count("*").alias("n_pairs"))
+    p = C.facing_forms(s, ["c_nationkey"], 3.0, 6.0, 8.0).groupBy("c_nationkey").agg(F.sum(F.col("n_lo") * F.col("n_hi")).alias("n_pairs"))
     return m.join(p, "c_nationkey", "left")
 
 
