@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrazzo.functions import text as T
@@ -14,6 +14,12 @@ QUERY = "brand 1 red w"
 _ROOM = "lpad(CAST(p_partkey AS VARCHAR), 6, '0')"
 
 
+def _padded(key: str) -> Column:
+    """A key as a number of six digits or, beyond these, of all that it has."""
+    k = F.col(key).cast("string")
+    return F.lpad(k, F.greatest(F.length(k), F.lit(6)), F.lit("0"))
+
+
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     brand = F.regexp_extract("p_brand", r"(\d+)", 1)
@@ -33,7 +39,7 @@ def f01_f06_forms(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("|", T.tokens(raw)).alias("f02_tokens"),
         T.strip_zeros(number).alias("f03_strip"),
         T.display_number(F.concat(number, F.lit("b"))).alias("f04_number"),
-        T.use_text(label, number).alias("f05_use"),
+        T.use_text(label, _padded("p_partkey")).alias("f05_use"),
         T.type_text(F.when(F.col("p_size") % 5 == 0, "Other ").otherwise(F.lower("p_type"))).alias("f06_type"),
         F.concat_ws("|", F.array_sort(T.name_tokens(F.concat(F.lit("The Hall of "), "p_name")))).alias("f11_names"),
         T.room_title(F.when(F.col("p_size") % 4 != 0, number), F.concat(F.lit("rm"), "p_partkey"), F.when(F.col("p_size") % 2 == 0, "B1")).alias("f36_title"),

@@ -88,3 +88,16 @@ def test_staged_joins_grow_with_rows(spark, folders, monkeypatch, module, name):
         made.clear()
         most.append(max(most_joined(QUERIES[name](spark, sf))[1], *made))
     assert 0 < most[1] <= 2.1 * most[0]
+
+
+def test_numbers_of_more_than_six_digits(spark, folders, tmp_path):
+    """Keys of seven digits are searched and cut off labels whole."""
+    for path in Path(folders[0]).iterdir():
+        if path.stem != "part" and path.suffix == ".parquet":
+            (tmp_path / path.name).symlink_to(path.resolve())
+    src = spark.read.parquet(f"{folders[0]}/part.parquet")
+    src.withColumn("p_partkey", F.col("p_partkey") + 1_000_000).coalesce(1).write.parquet(str(tmp_path / "tmp-part"))
+    (part,) = (tmp_path / "tmp-part").glob("part-*.parquet")
+    shutil.move(part, tmp_path / "part.parquet")
+    for name in ("f01_f06_forms",):
+        assert compare(spark, connect(str(tmp_path)), str(tmp_path), QUERIES[name], ORACLE[name]) == []
