@@ -23,7 +23,7 @@ def _padded(key: str) -> Column:
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     brand = F.regexp_extract("p_brand", r"(\d+)", 1)
-    rooms = part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("number"), F.col("p_name").alias("label"), F.col("p_type").alias("type"), brand.alias("building_id"))
+    rooms = part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), _padded("p_partkey").alias("number"), F.col("p_name").alias("label"), F.col("p_type").alias("type"), brand.alias("building_id"))
     buildings = part.select(brand.alias("id"), F.regexp_replace("p_brand", "#", " ").alias("name"), F.concat(F.lit("b"), brand).alias("code")).distinct()
     return S.build_index(rooms, buildings)
 

@@ -99,5 +99,5 @@ def test_numbers_of_more_than_six_digits(spark, folders, tmp_path):
     src.withColumn("p_partkey", F.col("p_partkey") + 1_000_000).coalesce(1).write.parquet(str(tmp_path / "tmp-part"))
     (part,) = (tmp_path / "tmp-part").glob("part-*.parquet")
     shutil.move(part, tmp_path / "part.parquet")
-    for name in ("f01_f06_forms",):
+    for name in ("t01_search", "f01_f06_forms"):
         assert compare(spark, connect(str(tmp_path)), str(tmp_path), QUERIES[name], ORACLE[name]) == []
