@@ -31,15 +31,17 @@ def cascade(rows: DataFrame, key: str, ident: str, sources: list[tuple[DataFrame
 
 def find_rooms(asked: DataFrame, rooms: DataFrame, buildings: DataFrame) -> DataFrame:
     """Asked (query, building, text) -> (query, room): by id, number or shown number, without the building's
-    code in front; lowest floor level first, then file order. rooms: room, building, number, level, ord."""
+    code in front; lowest floor level first, then file order. rooms: room, building, number, level, ord.
+
+    Of the rooms with one key only the first can be an answer, so a key that many share is one row of the join."""
     a = asked.join(buildings.select("building", "code"), "building", "left")
     bare = F.regexp_replace(F.trim(T.text(F.col("text"))), F.concat(F.lit("(?i)^"), F.regexp_replace(F.col("code"), "[^A-Za-z0-9]", ""), F.lit(r"[\s-]*")), F.lit(""))
     raw = F.when(T.blank_to_null(F.col("code")).isNull(), F.trim(T.text(F.col("text")))).otherwise(bare)
     a = a.withColumn("raw", raw).where(F.col("raw") != "").select("query", "building", F.explode(F.array_distinct(F.array(F.concat(F.lit("="), "raw"), F.concat(F.lit("#"), T.display_number(F.col("raw")))))).alias("k"))
     keys = F.array_distinct(F.array(F.concat(F.lit("="), "room"), F.concat(F.lit("="), "number"), F.concat(F.lit("#"), T.display_number(F.col("number")))))
     r = rooms.select("room", "building", "level", "ord", F.explode(keys).alias("k"))
-    hit = a.join(r, ["building", "k"])
-    return hit.groupBy("query").agg(F.min_by("room", F.struct("level", "ord")).alias("room"))
+    first = r.groupBy("building", "k").agg(F.min(F.struct("level", "ord", "room")).alias("r"))
+    return a.join(first, ["building", "k"]).groupBy("query").agg(F.min("r").alias("r")).select("query", "r.room")
 
 
 def best_target(targets: DataFrame, ident: str) -> DataFrame:
