@@ -119,14 +119,11 @@ def adjacency(samples: DataFrame, by: list[str], size: int, least: int) -> DataF
 
 def nearest_within(gaps: DataFrame, swings: DataFrame, within: float) -> DataFrame:
     """Each gap (gap, x, y) with the nearest swing (swing, sx, sy) within reach; both sides' rest keeps its row."""
-    size = max(within, 1.0)
-    cell = lambda x, y: [F.floor(F.col(x) / size).alias("i"), F.floor(F.col(y) / size).alias("j")]
-    around = F.explode(F.array(*(F.struct((F.floor(F.col("sx") / size) + dx).alias("i"), (F.floor(F.col("sy") / size) + dy).alias("j")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-    s = swings.withColumn("__c", around).select("swing", "sx", "sy", "__c.i", "__c.j")
-    pairs = gaps.select("gap", "x", "y", *cell("x", "y")).join(s, ["i", "j"]).withColumn("d", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))).where(F.col("d") <= within)
-    best = pairs.groupBy("gap").agg(F.min(F.struct("d", "swing")).alias("b")).select("gap", "b.swing")
-    matched = gaps.select("gap").join(best, "gap", "left")
-    alone = swings.join(best.select("swing").distinct(), "swing", "left_anti").select(F.lit(None).cast("long").alias("gap"), "swing")
+    from terrazzo.operators.spatial import nearest_points, per_place
+
+    t = swings.select("swing", F.col("sx").alias("nx"), F.col("sy").alias("ny"))
+    matched = per_place(gaps.select("gap", "x", "y"), ["x", "y"], lambda at: nearest_points(at, t, "swing", within=within), "left").select("gap", "swing")
+    alone = swings.join(matched.select("swing").where("swing is not null").distinct(), "swing", "left_anti").select(F.lit(None).cast("long").alias("gap"), "swing")
     return matched.unionByName(alone)
 
 

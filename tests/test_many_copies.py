@@ -60,7 +60,7 @@ def test_small_keys_as_in_sql(spark, folders, name, key, below):
     assert want and rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
 
 
-@pytest.mark.parametrize("name", ["p03_nodes", "g19_nearest_node", "x05_x06_segments", "j20_rooms"])
+@pytest.mark.parametrize("name", ["p03_nodes", "g19_nearest_node", "x05_x06_segments", "j20_rooms", "j16_nearest"])
 def test_copies_as_in_sql(spark, folders, name):
     assert compare(spark, connect(folders[1]), folders[1], QUERIES[name], ORACLE[name]) == []
 
@@ -71,7 +71,7 @@ def test_joins_grow_with_rows(spark, folders, name):
     assert 0 < eight <= 2.1 * four
 
 
-@pytest.mark.parametrize(("module", "name"), [("graph", "g19_nearest_node")])
+@pytest.mark.parametrize(("module", "name"), [("graph", "g19_nearest_node"), ("lookup", "j16_nearest")])
 def test_staged_joins_grow_with_rows(spark, folders, monkeypatch, module, name):
     """As above for joins behind tables that are written on the way."""
     made = []
