@@ -60,12 +60,12 @@ def test_small_keys_as_in_sql(spark, folders, name, key, below):
     assert want and rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
 
 
-@pytest.mark.parametrize("name", ["p03_nodes", "g19_nearest_node", "x05_x06_segments", "j20_rooms", "j16_nearest"])
+@pytest.mark.parametrize("name", ["p03_nodes", "m08_distance", "g19_nearest_node", "x05_x06_segments", "j20_rooms", "j16_nearest"])
 def test_copies_as_in_sql(spark, folders, name):
     assert compare(spark, connect(folders[1]), folders[1], QUERIES[name], ORACLE[name]) == []
 
 
-@pytest.mark.parametrize("name", ["j08_nearest", "j09_nearest_one", "j10_connect", "j11_snap", "m25_blocked", "p03_nodes", "x05_x06_segments", "j20_rooms"])
+@pytest.mark.parametrize("name", ["j08_nearest", "j09_nearest_one", "j10_connect", "j11_snap", "m25_blocked", "p03_nodes", "m08_distance", "x05_x06_segments", "j20_rooms"])
 def test_joins_grow_with_rows(spark, folders, name):
     four, eight = (most_joined(QUERIES[name](spark, sf))[1] for sf in folders[1:])
     assert 0 < eight <= 2.1 * four
