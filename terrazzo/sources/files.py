@@ -5,19 +5,27 @@ Paths are opened by Spark and its file systems alone, so any store that Spark re
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terrazzo.functions import geo as G
 from terrazzo.operators.merge import numbered
 
+FEATURE = "type string, id string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
 FEATURES = "type string, features array<struct<type:string,id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
 ELEMENT = "type string, id long, lat double, lon double, nodes array<long>, members array<struct<type:string,ref:long,role:string>>, tags map<string,string>"
 
 
+#: So many lines, some 50 to 100 MB of records, are one task's part of a text.
+PART_LINES = 500_000
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -39,6 +47,47 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.withColumn("ord", F.monotonically_increasing_id())  # a file that spans lines is one partition
 
 
+def read_by_lines(spark: SparkSession, path: str, schema: str, empty: Callable[[object], bool]) -> DataFrame | None:
+    """(ord, r): the records of one JSON text that has each of them on a line of its own between a first and a last
+    line, as `lines` makes it; None for any other text.
+
+    Any number of tasks reads the text, in one file or in several that follow each other in the order of their names.
+    Before that, one pass over all lines checks that the text has that shape: each line between the two is one
+    record that fits the schema, all but the last end in a comma, and the first and last line alone are JSON that
+    `empty` holds for.
+    """
+    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    line = F.rtrim("value")
+    comma = line.endswith(",")
+    wrapped = F.concat(F.lit('{"r":['), F.when(comma, F.left(line, F.length(line) - 1)).otherwise(line), F.lit("]}"))
+    read = F.from_json(wrapped, f"r array<struct<{_fields(schema)}>>, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    t = t.withColumns({"comma": comma, "j": read}).withColumn("ok", F.coalesce(F.col("j.__bad").isNull() & (F.size("j.r") == 1) & F.get("j.r", F.lit(0)).isNotNull(), F.lit(False)))
+    place, short = F.struct("file", "start", "id"), F.left("value", F.lit(10_000))
+    seen = F.col("ok")
+    c = t.agg(
+        F.count("*").alias("n"), F.count_if(~seen).alias("other"), F.min(F.struct(place, short.alias("v"), seen.alias("ok"))).alias("first"), F.max(F.struct(place, short.alias("v"), seen.alias("ok"))).alias("last"),
+        F.count_if(seen & ~F.col("comma")).alias("open"), F.max(F.when(seen, place)).alias("end"), F.max(F.when(seen & ~F.col("comma"), place)).alias("end_open"),
+    ).first()
+    if c.n < 2 or c.other != 2 or c["first"].ok or c["last"].ok or c.open != min(1, c.n - 2) or c.end != c.end_open:
+        return None
+    try:
+        if not empty(json.loads(c["first"].v + c["last"].v)):
+            return None
+    except ValueError:
+        return None
+    # a block's lines are numbered without gaps; what lies before it is one row a block
+    blocks = t.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    w = W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("file", "start", (F.coalesce(F.sum("n").over(w), F.lit(0)) - F.col("least")).alias("shift"))
+    rows = t.where("ok").select("file", "start", "id", F.get("j.r", F.lit(0)).alias("r"))
+    return rows.join(F.broadcast(blocks), ["file", "start"]).select((F.col("id") + F.col("shift") - 1).alias("ord"), "r")
+
+
+def _fields(schema: str) -> str:
+    """A schema's columns as fields of a struct."""
+    return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in StructType.fromDDL(schema).fields)
+
+
 def read_folder(spark: SparkSession, folder: str, schema: str, keep: Column) -> DataFrame:
     """The JSON documents of a folder, one a file, with `file`; those that `keep` holds for."""
     df = spark.read.schema(schema).option("multiLine", True).json(folder)
@@ -51,9 +100,11 @@ def read_catalog(spark: SparkSession, folder: str, names: dict[str, str]) -> dic
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (ord, id, kind, properties, coordinates as JSON text) of a feature collection."""
-    f = spark.read.schema(FEATURES).option("multiLine", True).json(path)
-    f = f.select(F.posexplode("features").alias("ord", "f"))
+    """Rows (ord, id, kind, properties, coordinates as JSON text) of a feature collection; in parts if it has a feature a line."""
+    f = read_by_lines(spark, path, FEATURE, lambda v: isinstance(v, dict) and v.get("features") == [])
+    if f is None:
+        f = spark.read.schema(FEATURES).option("multiLine", True).json(path).select(F.posexplode("features").alias("ord", "r"))
+    f = f.withColumnRenamed("r", "f")
     return f.select("ord", F.coalesce("f.id", F.concat(F.lit("override/"), F.col("ord").cast("string"))).alias("id"), F.col("f.geometry.type").alias("kind"), F.col("f.properties").alias("properties"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
@@ -83,8 +134,9 @@ def lines(df: DataFrame, order: str, json: Column, head: str = "[", tail: str =
     return each.unionByName(spark.createDataFrame([(0, head), (count + 1, tail)], "n long, line string"))
 
 
-def write_lines(text: DataFrame, path: str, parts: int = 1) -> None:
-    """The lines in order as text; more than one part for texts beyond one task, in the order of their names."""
+def write_lines(text: DataFrame, path: str, parts: int | None = None) -> None:
+    """The lines in order as text, in as many parts as named, else one for each PART_LINES lines, in the order of their names."""
+    parts = parts or max(1, -(-text.count() // PART_LINES))
     spread = text.repartition(1) if parts == 1 else text.repartitionByRange(parts, "n")
     spread.sortWithinPartitions("n").select("line").write.mode("overwrite").text(path)
 
