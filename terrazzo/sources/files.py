@@ -39,10 +39,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array of records, one a row, with `ord`, the place in the file; no file is an empty table.
 
-    A file that isn't JSON stops the read with an error that names it.
+    A file that isn't JSON stops the read with an error that names it. Files with a record a line are read in parts.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], f"{schema}, ord long")
+    parts = read_by_lines(spark, path, schema, lambda v: v == [])
+    if parts is not None:
+        return parts.select("r.*", "ord")
     df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return df.withColumn("ord", F.monotonically_increasing_id())  # a file that spans lines is one partition
 
